@@ -1,32 +1,30 @@
 """Near-duplicate records with small edits (problem 3).
 
-A forest of signature trees.  Two texts of similarity t share one of the rarest (1 - t) of their
-word sequences each; every such rare sequence roots a tree over the texts that have it there.
-A tree of few texts is a single leaf, whose members are paired within size ranges and by the
-overlap their places still allow.  A larger tree has nodes that hold the OR-combined bitmaps of
-their texts' sequences and the range of their sizes; pairs of nodes are traversed together and
-dropped as soon as the largest overlap any two members could have is too small.  Large trees are
-cut into subtrees, whose pairs are traversed by different tasks.  Surviving pairs are verified.
+A forest of signature trees.  A tree's root is a bitmap key: the joined minima of a few hash
+functions over a text's word sequences.  Texts enter the trees of all their keys, and two texts
+meet in a tree with a probability that depends on their similarity alone (``plan``).
+A tree of few texts is a single leaf, whose members are paired.  A larger tree has nodes that hold
+the OR-combined bitmaps of their texts' sequences and the range of their sizes; pairs of nodes are
+traversed together and dropped as soon as the largest overlap any two members could have is too
+small.  Large trees are cut into subtrees, whose pairs are traversed by different tasks.
+Surviving pairs are verified on the texts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mathloom.llm import kernels
 from mathloom.scratch import stage
 
 _U = np.uint64
-#: Counters of sequence frequencies: a fixed size, whatever the corpus.
-SLOT_BITS, SEGMENTS = 18, 64
-_HASH_BITS = 40
-_CLIP = 4095
 #: Texts of a leaf, and of a subtree that one task holds.
 LEAF, SUBTREE = 32, 1024
 WORDS_64 = 4
@@ -37,85 +35,58 @@ def _least(share: Fraction, n: np.ndarray) -> np.ndarray:
     return -((-share.numerator * n) // share.denominator)
 
 
-class Grams:
-    """Distinct k-word hashes (40 bits) of a batch of texts, rarest first within each text."""
-
-    def __init__(self, w: kernels.Words, k: int, rank: np.ndarray):
-        grams, offsets = kernels.ngrams(w, k)
-        n = len(offsets) - 1
-        low = _HASH_BITS - SLOT_BITS
-        if n >= 1 << (64 - _HASH_BITS):
-            raise ValueError("batch of too many texts")
-        owner = np.repeat(np.arange(n, dtype=_U), np.diff(offsets))
-        short = grams >> _U(64 - _HASH_BITS)
-        keys = (owner << _U(_HASH_BITS)) | (rank[(short >> _U(low)).astype(np.int64)] << _U(low)) | (short & _U((1 << low) - 1))
-        keys.sort()
-        if len(keys):
-            keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
-        own = (keys >> _U(_HASH_BITS)).astype(np.int64)
-        self.sizes = np.bincount(own, minlength=n).astype(np.int64)
-        self.offsets = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.owner = own
-        self.place = np.arange(len(keys)) - np.repeat(self.offsets[:-1], self.sizes)
-        # The order's rank and the low bits identify the sequence as well as its hash does.
-        self.tokens = keys & _U((1 << _HASH_BITS) - 1)
-
-
-def _scan(texts: DataFrame, k: int, least_words: int) -> DataFrame:
-    """Rows (row, seq, n words) of texts long enough, and per task the counters as blobs (n = -1)."""
+def plan(least: float, miss: float = 0.004) -> tuple[int, int]:
+    """(keys of a text, minima of a key): pairs just at the limit are missed at most that often.
+
+    For a limit of 0.6: 40 keys of 4 minima; a pair of similarity 0.65 is missed once in 2,600, one
+    of 0.7 once in 59,000, one of 0.8 practically never.
+    """
+    minima = 1
+    while least < 1 and least**minima > 0.13:
+        minima += 1
+    agree = least**minima
+    return (1 if agree >= 1 else math.ceil(math.log(miss) / math.log(1 - agree))), minima
+
+
+def tree_keys(w: kernels.Words, k: int, keys: int, minima: int, chosen: np.ndarray) -> np.ndarray:
+    """Keys of the chosen texts, one row each; every chosen text has at least k words."""
+    grams, offsets = kernels.ngrams(w, k)
+    sizes = np.diff(offsets)
+    use = np.zeros(len(sizes), dtype=bool)
+    use[chosen] = True
+    grams = grams[np.repeat(use, sizes)]
+    out = np.empty((len(chosen), keys), dtype=_U)
+    if not len(chosen):
+        return out
+    start = np.concatenate(([0], np.cumsum(sizes[use])[:-1]))
+    factors = np.random.default_rng(3).integers(1, 2**62, (keys, minima)).astype(_U) * _U(2) + _U(1)
+    product = np.empty_like(grams)
+    for i in range(keys):
+        key = np.full(len(chosen), i, dtype=_U)
+        for f in factors[i]:
+            np.multiply(grams, f, out=product)
+            key = kernels.mix64(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(product, start))
+        out[:, i] = key
+    return out
+
+
+def _members(texts: DataFrame, k: int, least_words: int) -> DataFrame:
+    """(row, seq) of the texts long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
-        seen: set[int] = set()
         for batch in batches:
             strings = batch.column(1).to_pylist()
             for lo, hi in kernels.chunks(strings):
                 w = kernels.words(strings[lo:hi])
-                seq = kernels.sequence_hash(w).view(np.int64)
                 good = np.flatnonzero(w.counts >= max(least_words, k))
-                grams, offsets = kernels.ngrams(w, k)
-                # Copies within a task count once: a frequent text doesn't make its parts frequent.
-                fresh = np.zeros(len(seq), dtype=bool)
-                for i in good.tolist():
-                    x = int(seq[i])
-                    if x not in seen:
-                        seen.add(x)
-                        fresh[i] = True
-                use = np.repeat(fresh, np.diff(offsets))
-                counts += np.bincount((grams[use] >> _U(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
-                if len(good):
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(good + lo)), pa.array(seq[good]), pa.array(w.counts[good].astype(np.int32)), pa.nulls(len(good), pa.binary())], ["row", "seq", "n", "counts"]
-                    )
-        parts = counts.reshape(SEGMENTS, -1)
-        some = [i for i in range(SEGMENTS) if parts[i].any()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int64()), pa.nulls(len(some), pa.int64()), pa.array([-1] * len(some), pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["row", "seq", "n", "counts"]
-        )
-
-    return texts.mapInArrow(run, "row bigint, seq bigint, n int, counts binary")
-
-
-def _ranks(scanned: DataFrame) -> np.ndarray:
-    """Place of each counter in ascending order of its count over all texts.
-
-    The driver gets one counter table of a fixed two megabytes, whatever the corpus.
-    """
-
-    def total(table: pa.Table) -> pa.Table:
-        out = sum(np.frombuffer(b, dtype=np.int64) for b in table.column("counts").to_pylist())
-        return pa.table({"row": table.column("row").slice(0, 1), "counts": pa.array([out.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good + lo)), pa.array(kernels.sequence_hash(w).view(np.int64)[good])], ["row", "seq"])
 
-    counts = np.zeros((SEGMENTS, (1 << SLOT_BITS) // SEGMENTS), dtype=np.int64)
-    for r in scanned.where("n = -1").select("row", "counts").groupBy("row").applyInArrow(total, "row bigint, counts binary").collect():
-        counts[r["row"]] = np.frombuffer(r["counts"], dtype=np.int64)
-    rank = np.empty(1 << SLOT_BITS, dtype=_U)
-    rank[np.argsort(counts.ravel(), kind="stable")] = np.arange(1 << SLOT_BITS, dtype=_U)
-    return rank
+    return texts.mapInArrow(run, "row bigint, seq bigint")
 
 
-def _postings(texts: DataFrame, k: int, least_words: int, share: Fraction, rank) -> DataFrame:
-    """(key, seq): each text under its rarest sequences; the key holds sequence, size and place."""
+def _postings(texts: DataFrame, k: int, least_words: int, share: Fraction) -> DataFrame:
+    """(key, seq): each text under its keys; copies within a task only once."""
+    keys, minima = plan(float(share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -124,45 +95,36 @@ def _postings(texts: DataFrame, k: int, least_words: int, share: Fraction, rank)
             for lo, hi in kernels.chunks(strings):
                 w = kernels.words(strings[lo:hi])
                 seq = kernels.sequence_hash(w).view(np.int64)
-                fresh = np.zeros(len(seq), dtype=bool)
+                fresh = []
                 for i in np.flatnonzero(w.counts >= max(least_words, k)).tolist():
                     x = int(seq[i])
                     if x not in seen:
                         seen.add(x)
-                        fresh[i] = True
-                g = Grams(w, k, rank.value)
-                prefix = g.sizes - _least(share, g.sizes) + 1
-                use = fresh[g.owner] & (g.place < prefix[g.owner])
-                own = g.owner[use]
-                key = (g.tokens[use] << _U(24)) | (np.minimum(g.sizes[own], _CLIP).astype(_U) << _U(12)) | np.minimum(g.place[use], _CLIP).astype(_U)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(seq[own])], ["key", "seq"])
+                        fresh.append(i)
+                chosen = np.array(fresh, dtype=np.int64)
+                out = tree_keys(w, k, keys, minima, chosen)
+                yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), pa.array(np.repeat(seq[chosen], keys))], ["key", "seq"])
 
     return texts.mapInArrow(run, "key bigint, seq bigint")
 
 
-def _leaf_pairs(key: np.ndarray, seq: np.ndarray, start: np.ndarray, end: np.ndarray, share: Fraction) -> np.ndarray:
-    """Pairs of the members start..end of each leaf that size and place don't exclude."""
-    size = (key >> 12) & _CLIP
-    left = size - (key & _CLIP)
+def _leaf_pairs(seq: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Pairs of the members start..end of each leaf."""
     out = []
-    stop = np.repeat(end, end - start)
-    at = np.repeat(start, end - start) + np.arange(int((end - start).sum())) - np.repeat(np.cumsum(end - start) - (end - start), end - start)
-    for d in range(1, int((end - start).max(initial=1))):
-        a = at[at + d < stop]
-        stop, at = stop[at + d < stop], a
-        if not len(a):
+    size = end - start
+    stop = np.repeat(end, size)
+    at = np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    for d in range(1, int(size.max(initial=1))):
+        inside = at + d < stop
+        at, stop = at[inside], stop[inside]
+        if not len(at):
             break
-        b = a + d
-        open_ended = (size[a] == _CLIP) | (size[b] == _CLIP)
-        fits = share.denominator * np.minimum(size[a], size[b]) >= share.numerator * np.maximum(size[a], size[b])
-        # Shared sequences lie at this place or later in both texts' order.
-        need = _least(share / (1 + share), size[a] + size[b])
-        good = (open_ended | (fits & (np.minimum(left[a], left[b]) >= need))) & (seq[a] != seq[b])
-        out.append(np.column_stack((np.minimum(seq[a], seq[b])[good], np.maximum(seq[a], seq[b])[good])))
+        a, b = seq[at], seq[at + d]
+        out.append(np.column_stack((np.minimum(a, b), np.maximum(a, b))))
     return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
 
 
-def _leaves(postings: DataFrame, share: Fraction, leaf: int) -> DataFrame:
+def _leaves(postings: DataFrame, leaf: int) -> DataFrame:
     """From postings sorted by key: pairs of small trees (kind 0), members of large ones (kind 1)."""
 
     def emit(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -178,24 +140,23 @@ def _leaves(postings: DataFrame, share: Fraction, leaf: int) -> DataFrame:
             if len(key):
                 new = np.concatenate(([True], (key[1:] != key[:-1]) | (seq[1:] != seq[:-1])))
                 key, seq = key[new], seq[new]
-            token = key >> 24
-            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(key) else none
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else none
             end = np.append(start[1:], len(key)) if len(key) else none
-            big = (end - start > leaf) | (token[start] == large if large is not None else False)
+            big = (end - start > leaf) | (key[start] == large if large is not None else False)
             if len(start) and not last:
                 if big[-1]:
                     # A large tree's members pass through; only its name is remembered.
-                    large = int(token[-1])
+                    large = int(key[-1])
                     held_key, held_seq = none, none
                 else:
                     large = None
                     held_key, held_seq = key[start[-1] :], seq[start[-1] :]
                     start, end, big = start[:-1], end[:-1], big[:-1]
             for i in np.flatnonzero(big):
-                yield emit(1, token[start[i] : end[i]], seq[start[i] : end[i]])
+                yield emit(1, key[start[i] : end[i]], seq[start[i] : end[i]])
             small = ~big & (end - start > 1)
             if small.any():
-                pairs = np.unique(_leaf_pairs(key, seq, start[small], end[small], share), axis=0)
+                pairs = np.unique(_leaf_pairs(seq, start[small], end[small]), axis=0)
                 if len(pairs):
                     yield emit(0, pairs[:, 0], pairs[:, 1])
 
@@ -344,18 +305,17 @@ def near_links(texts: DataFrame, least: float = 0.8, k: int = 5, least_words: in
 
     Members: ``row``, ``seq`` of every text of at least ``max(least_words, k)`` words; rows of the
     same word sequence have the same ``seq``.  Links: ``a`` < ``b``, all pairs of different
-    sequences whose distinct k-word sequences have a Jaccard similarity of at least ``least``.
+    sequences whose distinct k-word sequences have a Jaccard similarity of at least ``least``, but for
+    the share of misses near the limit that ``plan`` states.
     Rows must be unique; null and short texts are left out; an empty table gives empty results.
     """
     share = Fraction(least).limit_denominator(1000)
     if not 0 < share <= 1:
         raise ValueError("least must be in (0, 1]")
     texts = texts.where(F.col("text").isNotNull()).select("row", "text")
-    scanned = stage(_scan(texts, k, least_words), "near-scan")
-    members = scanned.where("n >= 0").select("row", "seq")
-    rank = texts.sparkSession.sparkContext.broadcast(_ranks(scanned))
-    postings = _postings(texts, k, least_words, share, rank).repartition(F.shiftright("key", 24))
-    found = stage(_leaves(postings.sortWithinPartitions("key", "seq"), share, leaf), "tree-leaves")
+    members = stage(_members(texts, k, least_words), "near-members")
+    postings = _postings(texts, k, least_words, share).repartition("key")
+    found = stage(_leaves(postings.sortWithinPartitions("key", "seq"), leaf), "tree-leaves")
     pairs = found.where("kind = 0").select("a", "b")
     large = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("seq"))
     if large.limit(1).count():
