@@ -96,16 +96,16 @@ def _earlier_links(forms: DataFrame, threshold: float) -> DataFrame:
     """
     n = F.size("tokens")
     prefix = F.slice(F.array_sort("tokens"), 1, F.greatest(n - F.ceil(n * threshold - 1e-9) + 1, F.lit(1)).cast("int"))
-    listed = forms.select("id", "equations", "tokens", "index", F.explode(prefix).alias("token"))
-    a = listed.select("id", "equations", "token", F.col("index").alias("u"), F.col("tokens").alias("tu"))
-    b = listed.select("id", "equations", "token", F.col("index").alias("v"), F.col("tokens").alias("tv"))
+    listed = forms.select("id", "equations", "tokens", "index", "row_no", F.explode(prefix).alias("token"))
+    a = listed.select("id", "equations", "token", F.col("index").alias("iu"), F.col("row_no").alias("u"), F.col("tokens").alias("tu"))
+    b = listed.select("id", "equations", "token", F.col("index").alias("iv"), F.col("row_no").alias("v"), F.col("tokens").alias("tv"))
     small, large = F.least(F.size("tu"), F.size("tv")), F.greatest(F.size("tu"), F.size("tv"))
-    pairs = a.join(b, ["id", "equations", "token"]).where((F.col("u") < F.col("v")) & (small >= large * threshold - 1e-9))
+    pairs = a.join(b, ["id", "equations", "token"]).where((F.struct("iu", "u") < F.struct("iv", "v")) & (small >= large * threshold - 1e-9))
     return pairs.where(T.jaccard(F.col("tu"), F.col("tv")) >= threshold).select("id", "u", "v").distinct()
 
 
 def near_dedup(rows: DataFrame, threshold: float = 0.88, most_rounds: int = 200) -> DataFrame:
-    """Greedy removal of near-duplicates within each id, in the order of the candidate index.
+    """Greedy removal of near-duplicates within each id, in the order of the candidate index (equal ones: of ``row_no``).
 
     A row goes if its normalised text equals a kept one's, or if its equations are the same and not
     empty and its tokens at least ``threshold`` similar to a kept one's.  Adds ``dedup_group``, the
@@ -117,7 +117,7 @@ def near_dedup(rows: DataFrame, threshold: float = 0.88, most_rounds: int = 200)
         raise ValueError("threshold must be in (0, 1]")
     forms = rows.withColumn("index", index_of()).withColumn("norm", T.normalize_solution(F.col("solution")))
     # Of equal texts only the first can be kept, and what removes it removes the others.
-    forms = keyed.first_by(forms.where(F.col("index").isNotNull()), ["id", "norm"], "index")
+    forms = keyed.first_by(forms.where(F.col("index").isNotNull()), ["id", "norm"], F.struct("index", "row_no"))
     forms = stage(forms.withColumn("equations", T.equations(F.col("norm"))).withColumn("tokens", T.tokens(F.col("norm"))), "dedup-forms")
     links = stage(_earlier_links(forms.where("equations != ''"), threshold), "dedup-links")
     gone = None
@@ -131,17 +131,22 @@ def near_dedup(rows: DataFrame, threshold: float = 0.88, most_rounds: int = 200)
         left = links.join(kept, ["id", "u"], "left_anti").join(dropped, ["id", "u"], "left_anti")
         links = stage(left.join(dropped.withColumnRenamed("u", "v"), ["id", "v"], "left_anti").select("id", "u", "v"), "dedup-links")
     if gone is not None:
-        forms = forms.join(gone.withColumnRenamed("u", "index"), ["id", "index"], "left_anti")
-    return keyed.ordinal(forms, "id", "index", "dedup_group").select(*rows.columns, "dedup_group")
+        forms = forms.join(gone.withColumnRenamed("u", "row_no"), ["id", "row_no"], "left_anti")
+    return keyed.ordinal(forms, "id", "index", "dedup_group", ties="row_no").select(*rows.columns, "dedup_group")
 
 
-def independent(cand: DataFrame) -> DataFrame:
-    """Independent solutions as the tables allow: the last longest finished response of each id."""
+def independent(cand: DataFrame, judged: DataFrame) -> DataFrame:
+    """Independent solutions as the tables allow: the first finished response of each id.
+
+    ``independent_sha256`` is the hash that the id's last judgment was made against, where there is
+    one: judgments with another hash are stale.
+    """
     rows = cand.where((F.col("finish_status") == "eos") & (F.col("solution") != ""))
-    first = keyed.first_by(rows, ["id"])
-    return first.withColumn("p", T.final_answer(F.col("solution"))).select(
-        "id", T.sha256(T.strip(F.col("question"))).alias("question_sha256"), F.lit("recorded").alias("model"), T.strip(F.col("solution")).alias("independent_solution"),
-        F.col("p.value").alias("parsed_answer"), F.col("p.method").alias("parser_method"), "finish_status",
+    recorded = judged.groupBy("id").agg(F.max_by("independent_solution_sha256", "row_no").alias("recorded"))
+    first = keyed.first_by(rows, ["id"]).join(recorded, "id", "left").withColumn("own", T.strip(F.col("solution")))
+    return first.withColumn("p", T.final_answer(F.col("own"))).select(
+        "id", T.sha256(T.strip(F.col("question"))).alias("question_sha256"), F.lit("recorded").alias("model"), F.col("own").alias("independent_solution"),
+        F.col("p.value").alias("parsed_answer"), F.col("p.method").alias("parser_method"), "finish_status", F.coalesce("recorded", T.sha256(F.col("own"))).alias("independent_sha256"),
     )
 
 
@@ -204,7 +209,7 @@ def rejudge_queue(profiled: DataFrame) -> DataFrame:
 
 def gate_v2(judged: DataFrame, unique: DataFrame, solved: DataFrame, src: DataFrame, checks: DataFrame, queue: DataFrame, least: int = 80, most: int = 5000) -> DataFrame:
     """Judgments with their candidate and ``reason``: why it is rejected, null if it is accepted."""
-    own = solved.select("id", F.col("parsed_answer").alias("own_answer"), T.sha256(F.col("independent_solution")).alias("own_sha"))
+    own = solved.select("id", F.col("parsed_answer").alias("own_answer"), F.col("independent_sha256").alias("own_sha"))
     label = src.where("valid").select("id", F.col("answer").alias("label"), F.col("question").alias("asked"))
     status = keyed.last_by(checks.select(*KEY, "status", "row_no"), KEY).select(*KEY, "status")
     found = unique.select(*KEY, "solution", F.lit(True).alias("found"))

@@ -15,7 +15,7 @@ def last_by(df: DataFrame, keys: list[str], row: str = "row_no") -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), row).alias("r_")).select("r_.*")
 
 
-def first_by(df: DataFrame, keys: list[str], row: str = "row_no") -> DataFrame:
+def first_by(df: DataFrame, keys: list[str], row: str | Column = "row_no") -> DataFrame:
     """The row of smallest ``row`` for each key."""
     return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), row).alias("r_")).select("r_.*")
 
@@ -103,8 +103,8 @@ def hash_split(df: DataFrame, percent: int, key: str = "id") -> DataFrame:
     return outside.unionByName(inside)
 
 
-def ordinal(df: DataFrame, key: str, order: str, into: str, width: int = 4096) -> DataFrame:
-    """Rank from 0 of each row within its key, by an integer column without repeats.
+def ordinal(df: DataFrame, key: str, order: str, into: str, ties: str, width: int = 4096) -> DataFrame:
+    """Rank from 0 of each row within its key, by an integer column, then by ``ties``.
 
     Ranked within blocks of ``width`` values, then shifted by the rows of earlier blocks, so that a
     key of any size is spread over many tasks.
@@ -113,7 +113,7 @@ def ordinal(df: DataFrame, key: str, order: str, into: str, width: int = 4096) -
     sizes = blocks.groupBy(key, "block_").agg(F.count("*").alias("n_"))
     before = F.coalesce(F.sum("n_").over(Window.partitionBy(key).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifted = blocks.join(sizes.select(key, "block_", before.alias("before_")), [key, "block_"])
-    within = F.row_number().over(Window.partitionBy(key, "block_").orderBy(order))
+    within = F.row_number().over(Window.partitionBy(key, "block_").orderBy(order, ties))
     return shifted.withColumn(into, (F.col("before_") + within - 1).cast("long")).drop("block_", "before_")
 
 

@@ -98,14 +98,15 @@ TABLES = {
         finish_status, {_strip('answer')} AS original_answer, {_strip('answer')} <> now_answer AS label_changed, row_no
         FROM (SELECT *, {_value('solution')} AS value, {_method('solution')} AS method FROM joined WHERE now_question IS NOT NULL AND {_strip('question')} = now_question)""",
     "elig": f"SELECT * FROM recon WHERE ({_first(_CHEAP)}) IS NULL",
-    "forms": f"SELECT *, {_equations('norm')} AS eq, {_tokens('norm')} AS toks FROM (SELECT *, {_INDEX} AS idx, {_norm('solution')} AS norm FROM elig WHERE {_INDEX} IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY id, norm ORDER BY idx) = 1",
-    "kept": f"""SELECT id, unnest(list_transform(k, lambda e: e.idx)) AS idx FROM (
-        SELECT id, list_reduce(list_transform(list({{'idx': idx, 'toks': toks}} ORDER BY idx), lambda e: [e]),
+    "forms": f"SELECT *, {_equations('norm')} AS eq, {_tokens('norm')} AS toks FROM (SELECT *, {_INDEX} AS idx, {_norm('solution')} AS norm FROM elig WHERE {_INDEX} IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY id, norm ORDER BY idx, row_no) = 1",
+    "kept": f"""SELECT id, unnest(list_transform(k, lambda e: e.row_no)) AS row_no FROM (
+        SELECT id, list_reduce(list_transform(list({{'row_no': row_no, 'toks': toks}} ORDER BY idx, row_no), lambda e: [e]),
             lambda acc, e: CASE WHEN len(list_filter(acc, lambda o: ({_jaccard('o.toks', 'e[1].toks')}) >= 0.88)) > 0 THEN acc ELSE list_concat(acc, e) END) AS k
-        FROM forms WHERE eq <> '' GROUP BY id, eq) UNION ALL SELECT id, idx FROM forms WHERE eq = ''""",
-    "uniq": "SELECT f.* EXCLUDE (norm, eq, toks), row_number() OVER (PARTITION BY f.id ORDER BY f.idx) - 1 AS dedup_group FROM forms f SEMI JOIN kept k ON f.id = k.id AND f.idx = k.idx",
-    "indep": f"""SELECT id, sha256({_strip('question')}) AS question_sha256, sol AS independent_solution, {_value('solution')} AS parsed_answer, {_method('solution')} AS parser_method, finish_status
-        FROM (SELECT *, {_strip('solution')} AS sol FROM cand WHERE finish_status = 'eos' AND solution <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_no) = 1)""",
+        FROM forms WHERE eq <> '' GROUP BY id, eq) UNION ALL SELECT id, row_no FROM forms WHERE eq = ''""",
+    "uniq": "SELECT f.* EXCLUDE (norm, eq, toks), row_number() OVER (PARTITION BY f.id ORDER BY f.idx, f.row_no) - 1 AS dedup_group FROM forms f SEMI JOIN kept k ON f.id = k.id AND f.row_no = k.row_no",
+    "indep": f"""SELECT id, sha256({_strip('question')}) AS question_sha256, sol AS independent_solution, {_value('sol')} AS parsed_answer, {_method('sol')} AS parser_method, finish_status, coalesce(h.sha, sha256(sol)) AS independent_sha256
+        FROM (SELECT *, {_strip('solution')} AS sol FROM cand WHERE finish_status = 'eos' AND solution <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_no) = 1)
+        LEFT JOIN (SELECT id, arg_max(independent_solution_sha256, row_no) AS sha FROM deepseek_candidate_judgments GROUP BY id) h USING (id)""",
     "judged": _judged("deepseek_candidate_judgments"),
     "judged_v1": _judged("solution_judgments"),
     "checks": f"SELECT * REPLACE (upper({_strip('status')}) AS status) FROM sympy_crosschecks",
@@ -132,7 +133,7 @@ TABLES = {
             bool_or(reason IN ('INDEPENDENT_LABEL_DISAGREEMENT', 'INDEPENDENT_PARSE_FAILURE', 'QUESTION_CHANGED_REGENERATE')) AS label FROM reasons GROUP BY id) r ON p.id = r.id""",
     "gate2": f"""SELECT j.row_no, j.id, j.candidate_index, u.solution, CASE WHEN u.id IS NULL THEN 'missing_candidate' WHEN q.id IS NOT NULL THEN 'rejudge_queue'
         WHEN i.parsed_answer IS NULL OR i.parsed_answer <> s.answer THEN 'independent_not_confirmed' WHEN j.parse_status <> 'ok' OR j.verdict <> 'PASS' THEN 'deepseek_not_pass'
-        WHEN j.solution_sha256 <> sha256(u.solution) THEN 'solution_hash_mismatch' WHEN j.independent_solution_sha256 <> sha256(i.independent_solution) THEN 'independent_hash_mismatch'
+        WHEN j.solution_sha256 <> sha256(u.solution) THEN 'solution_hash_mismatch' WHEN j.independent_solution_sha256 <> i.independent_sha256 THEN 'independent_hash_mismatch'
         WHEN coalesce(c.status, '') = 'FAIL' THEN 'sympy_failure' WHEN length({_strip('u.solution')}) NOT BETWEEN 80 AND 5000 THEN 'solution_length' END AS reason
         FROM judged j LEFT JOIN uniq u ON j.id = u.id AND j.candidate_index = u.candidate_index LEFT JOIN queue q ON j.id = q.id LEFT JOIN indep i ON j.id = i.id LEFT JOIN src s ON j.id = s.id
         LEFT JOIN (SELECT id, candidate_index, arg_max(status, row_no) AS status FROM checks GROUP BY ALL) c ON j.id = c.id AND j.candidate_index = c.candidate_index""",

@@ -52,7 +52,7 @@ class Rebuild:
 
     @cached_property
     def independent(self) -> DataFrame:
-        return curation.independent(self.candidates)
+        return curation.independent(self.candidates, self.table("deepseek_candidate_judgments"))
 
     @cached_property
     def judged(self) -> DataFrame:
