@@ -62,13 +62,15 @@ class MergeAutomaton:
                 self.spine[t] = ((t, never),)
         for rank, (left, right) in enumerate(merges):
             self._merge(rank, vocabulary[left], vocabulary[right], vocabulary[left + right], never)
+        self.ids = {b: t for b, t in vocabulary.items() if t in self.after}
 
     def _merge(self, rank: int, a: int, b: int, made: int, never: int) -> None:
+        state = self.after.get(a)
+        if state is None or b not in self.after or not self.follows(state, b):
+            return  # the pair never stands side by side, so the token is never made
         ends = self.after[b]
-        state = self.after[a]
-        if self.follows(state, b):
-            self.lost.append({**self.lost[state], b: rank})
-            self.after[a] = len(self.lost) - 1
+        self.lost.append({**self.lost[state], b: rank})
+        self.after[a] = len(self.lost) - 1
         self.after[made] = ends
         first = self.spine[a]
         self.spine[made] = (*first[:-1], (a, rank), (made, never))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mathloom.functions import text as text_functions
 from mathloom.scratch import stage
 
 #: Groups of at most this many rows go straight to the ranking.
@@ -35,15 +36,16 @@ def top_n(
 
     ``bucket`` is an integer that never falls when the score rises; it should take few values.
     Rows with a null group take no part; null scores rank last.  All columns of ``df`` are kept,
-    with ``rank`` (from 1) added.  Rows equal in score and all ties have an undefined order, so
+    with ``rank`` (from 1) added; a column of that name is replaced.  Rows equal in score and all ties have an undefined order, so
     the last tie should be unique.
     """
     if n < 1:
         raise ValueError("n must be positive")
     names = [f"t{i}_" for i in range(len(ties))]
-    keep = df.columns
+    keep = [c for c in df.columns if c != "rank"]
+    # The row travels as one value, so that no column of its can clash with those added here.
     scored = df.where(F.col(group).isNotNull()).select(
-        *keep, F.col(group).alias("g_"), score.alias("s_"), F.coalesce(bucket.cast("long"), F.lit(-(2**62))).alias("b_"), *(t.alias(x) for t, x in zip(ties, names))
+        F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row_"), F.col(group).alias("g_"), score.alias("s_"), F.coalesce(bucket.cast("long"), F.lit(-(2**62))).alias("b_"), *(t.alias(x) for t, x in zip(ties, names))
     )
     limits = stage(_thresholds(scored, n, small_group), "topn-limits")
     if limits.count() <= broadcast_groups:
@@ -54,13 +56,11 @@ def top_n(
     pruned = pruned.where(F.col("least").isNull() | (F.col("b_") >= F.col("least")))
     order = Window.partitionBy("g_").orderBy(F.col("s_").desc_nulls_last(), *names)
     ranked = pruned.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= n)
-    return ranked.select(*keep, F.col("rank_").alias("rank"))
+    return ranked.select("row_.*", F.col("rank_").alias("rank"))
 
 
-#: Fixed values of the ordering of solutions.
-FINAL_LABEL = r"(?im)^\s*Final\s+answer\s*:"
-CUE = r"[=+*/^]|\\(?:frac|sqrt|times|cdot)"
-CUE_CAP, LENGTH_SPAN, LENGTH_AIM = 20, 1500, 700
+FINAL_LABEL = rf"(?imd){text_functions.FINAL_LABEL}"
+CUE, CUE_CAP, LENGTH_SPAN, LENGTH_AIM = text_functions.CUES, text_functions.CUE_CAP, text_functions.LENGTH_SPAN, text_functions.LENGTH_AIM
 
 
 def clean_id(column: str) -> Column:
@@ -68,11 +68,6 @@ def clean_id(column: str) -> Column:
     return F.upper(F.regexp_replace(F.col(column), "[^A-Za-z0-9]", ""))
 
 
-def strip(column: Column) -> Column:
-    """Without white space of any script at both ends."""
-    return F.regexp_replace(column, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
-
-
 def best_solutions(df: DataFrame, n: int = 3, small_group: int = SMALL_GROUP, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """The ``n`` best candidates of each clean id: ``group``, ``row_no``, ``rank``.
 
@@ -80,7 +75,7 @@ def best_solutions(df: DataFrame, n: int = 3, small_group: int = SMALL_GROUP, br
     Of rows with equal clean id and index the smallest row_no counts.  More equation cues come
     first, then a length nearer 700, then the smaller index.
     """
-    text = strip(F.col("solution"))
+    text = text_functions.strip(F.col("solution"))
     body = F.element_at(F.split(text, FINAL_LABEL, 2), 1)
     rows = df.where(F.col("solution").isNotNull()).select(
         clean_id("id").alias("group"),
