@@ -118,13 +118,17 @@ class IsolationForest:
         return total / max(len(self.trees), 1)
 
 
-def fit(df: DataFrame, text: str, least_share: float, least_words: int, sample_rows: int = SAMPLE_ROWS) -> tuple[IsolationForest, float]:
+def fit(df: DataFrame, text: str, key: str, least_share: float, least_words: int, sample_rows: int = SAMPLE_ROWS) -> tuple[IsolationForest, float]:
     """Forest and path-length limit.
 
-    The sample is the ``sample_rows`` texts of smallest hash: a fixed bound, the same for every
-    partitioning of the corpus.  Labelled rows are those of the sample for which the rule holds.
+    The sample is of the ``sample_rows`` rows of smallest hashed key: a fixed bound, the same for
+    every partitioning of the corpus.  Tasks send only rows below a hash that about twice as many
+    rows pass.  Labelled rows are those of the sample for which the rule holds.
     """
-    sample = [r[0] for r in df.select(F.col(text)).where(F.col(text).isNotNull()).orderBy(F.xxhash64(text)).limit(sample_rows).collect()]
+    share = min(1.0, 2.0 * sample_rows / max(df.count(), 1))
+    pool = df.where(F.col(text).isNotNull()).withColumn("h_", F.xxhash64(F.col(key)))
+    pool = pool.where(F.col("h_") <= int((2**64 - 1) * share) - 2**63)
+    sample = [r[0] for r in pool.orderBy("h_").limit(sample_rows).select(text).collect()]
     n, runs, distinct, rows = statistics(sample)
     forest = IsolationForest(rows)
     if not len(rows):
@@ -142,7 +146,7 @@ def repetition(df: DataFrame, text: str = "text", key: str = "doc_id", least_sha
     A null, empty or short text has a share of 0 and is never repetitive.  One row per input row.
     """
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
-    forest, limit = fit(rows, "text", least_share, least_words, sample_rows)
+    forest, limit = fit(rows, "text", "key", least_share, least_words, sample_rows)
     sent = df.sparkSession.sparkContext.broadcast((forest, limit))
     kind = rows.schema["key"].dataType.simpleString()
     parts = [("words", T.LongType()), ("repeated_share", T.DoubleType()), ("path_length", T.DoubleType()), ("anomalous", T.BooleanType()), ("repetitive", T.BooleanType())]
