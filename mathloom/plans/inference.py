@@ -58,7 +58,7 @@ def generate(questions: DataFrame, backend, n: int, prompt) -> DataFrame:
     """``n`` candidates of each question (id, question, answer): one row per id and index."""
     if n < 1:
         raise ValueError("n must be positive")
-    work = questions.withColumn("candidate_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("string")).withColumn("prompt", prompt)
+    work = questions.withColumn("candidate_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<string>"))).withColumn("prompt", prompt)
     out = work.join(backend.run(work, ["id", "candidate_index"]), ["id", "candidate_index"]).withColumn("solution", T.strip(F.col("text")))
     out = out.withColumn("p", T.final_answer(F.col("solution"), fallback=True))
     return out.select(
