@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # The patterns that define answers, tokens and cues.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WS_CHARACTERS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 VALUE = r"([+-]?[0-9][0-9,]*(?:\.0+)?)"
 FINAL_LABEL = rf"^{WS}*final{WS}+answer{WS}*:"
 FINAL_ANSWER = rf"{FINAL_LABEL}{WS}*\$?{WS}*{VALUE}{WS}*\$?{WS}*[.!]?{WS}*$"
@@ -21,12 +22,13 @@ LAST_NUMBER = r"(?<![\w.])[+-]?\d[\d,]*(?:\.\d+)?(?!\w)"
 CUES = r"[=+*/^]|\\(?:frac|sqrt|times|cdot)"
 TOKENS = r"[a-z0-9가-힣]+|[=+*/^-]"
 KEPT = r"[^a-z0-9가-힣+*/^=().-]+"
+DROPPED = r"[^a-z0-9가-힣+*/^=(). -]+"
 CUE_CAP, LENGTH_SPAN, LENGTH_AIM = 20, 1500, 700
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, of any script."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(WS_CHARACTERS))
 
 
 def normalize_integer(c: Column) -> Column:
@@ -61,16 +63,21 @@ def last_number(text: Column) -> Column:
     return F.coalesce(normalize_integer(_last(text, f"(?dU){LAST_NUMBER}", 0)), F.lit(""))
 
 
+def _single_spaces(text: Column) -> Column:
+    return F.regexp_replace(text, " {2,}", " ")
+
+
 def collapse(text: Column) -> Column:
     """One space for each run of white space, stripped, lower-cased."""
-    return F.lower(strip(F.regexp_replace(text, f"{WS}+", " ")))
+    return F.lower(F.trim(_single_spaces(F.translate(text, WS_CHARACTERS, " " * len(WS_CHARACTERS)))))
 
 
 def normalize_solution(text: Column) -> Column:
     """Without final-answer lines, lower-cased, products as ``*``, other characters as one space."""
     body = F.lower(F.regexp_replace(text, rf"(?imd){FINAL_LABEL}[^\n]*$", ""))
     body = F.replace(F.replace(body, F.lit("\\cdot"), F.lit("*")), F.lit("\\times"), F.lit("*"))
-    return F.trim(F.regexp_replace(F.regexp_replace(body, f"{WS}+", " "), KEPT, " "))
+    # Spaces stand outside the pattern, so that it matches only where something else goes.
+    return F.trim(_single_spaces(F.regexp_replace(body, DROPPED, " ")))
 
 
 def tokens(normalized: Column) -> Column:
@@ -80,7 +87,7 @@ def tokens(normalized: Column) -> Column:
 
 def equations(normalized: Column) -> Column:
     """The parts between full stops that have an equals sign, joined."""
-    parts = F.regexp_extract_all(normalized, F.lit(r"[^.!?\n]*=[^.!?\n]*"), F.lit(0))
+    parts = F.filter(F.split(normalized, r"[.!?\n]"), lambda x: F.contains(x, F.lit("=")))
     return F.array_join(F.transform(parts, lambda x: F.trim(x)), "|")
 
 
