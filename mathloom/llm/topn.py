@@ -85,6 +85,8 @@ def best_solutions(df: DataFrame, n: int = 3, small_group: int = SMALL_GROUP, br
         F.greatest(F.lit(0), LENGTH_SPAN - F.abs(F.length(text) - LENGTH_AIM)).alias("fit"),
     ).where(F.col("group").isNotNull() & F.col("index").isNotNull())
     first = rows.groupBy("group", "index").agg(F.min(F.struct("row_no", "cues", "fit")).alias("row")).select("group", "index", "row.*")
+    # Read twice, for the thresholds and for the rows: the texts are scored once.
+    first = stage(first, "scored-solutions")
     score = F.col("cues") * (LENGTH_SPAN + 1) + F.col("fit")
     best = top_n(first, "group", score, [F.col("index"), F.col("row_no")], n, F.floor(score / 100), small_group, broadcast_groups)
     return best.select("group", "row_no", "rank")
