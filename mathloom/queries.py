@@ -13,7 +13,7 @@ from mathloom.operators import curation, keyed
 from mathloom.oracle import ORACLE as ORACLE
 from mathloom.plans.rebuild import Rebuild
 
-FLAGSHIP = "sft_v2"
+FLAGSHIP = "missing_policy"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 RATE = 6
