@@ -20,6 +20,12 @@ JUDGE = (
     "verdict and reason. verdict must be PASS or FAIL. Do not use LaTeX in reason."
 )
 
+INDEPENDENT = (
+    "Solve the mathematics problem independently. You are not given a reference answer or "
+    "another solution. Check the interpretation and calculations. Keep the derivation concise "
+    "and end with exactly one line 'Final answer: <integer>'."
+)
+
 
 def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
@@ -34,6 +40,11 @@ def judge(question: Column, answer: Column, solution: Column) -> Column:
     return ask(JUDGE, user)
 
 
+def independent(question: Column) -> Column:
+    """The one user turn of an independent solution; the model's own template goes around it."""
+    return F.concat(F.lit(INDEPENDENT), F.lit("\n\nProblem:\n"), question)
+
+
 def training_example(system: str, question: Column, completion: Column) -> Column:
     return F.struct(ask(system, question).alias("prompt"), F.array(message("assistant", completion)).alias("completion"))
 

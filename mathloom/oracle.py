@@ -263,6 +263,7 @@ _QUERIES = {
     "student_messages": _chat(chat.STUDENT),
     "answer_messages": _chat(chat.ANSWER_ONLY),
     "judge_messages": "SELECT row_no, 'Problem:' || chr(10) || question || chr(10) || chr(10) || 'Reference final answer:' || chr(10) || answer || chr(10) || chr(10) || 'Candidate solution:' || chr(10) || solution AS user FROM cand",
+    "independent_prompt": f"SELECT id, {_text(chat.INDEPENDENT)} || chr(10) || chr(10) || 'Problem:' || chr(10) || question AS prompt FROM src",
     "training_example": "SELECT row_no, question AS user, completion AS assistant FROM reasoning_train_sft WHERE question IS NOT NULL AND completion IS NOT NULL",
     "verifier_prompt": """SELECT u.id, u.bundle, 'Problem:' || chr(10) || s.question || chr(10) || chr(10) || 'Reference integer label:' || chr(10) || s.answer || chr(10) || chr(10)
         || 'Independent solution (created without the label or candidates):' || chr(10) || i.independent_solution || chr(10) || chr(10) || 'Candidates:' || chr(10) || u.c AS prompt

@@ -11,10 +11,13 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from mathloom.functions import chat, parsing
 from mathloom.functions import text as T
 from mathloom.operators import keyed
 
+KEY = ["id", "candidate_index"]
 Generate = Callable[[list[str]], list[tuple[str, bool]]]
 
 
@@ -67,6 +70,58 @@ def generate(questions: DataFrame, backend, n: int, prompt) -> DataFrame:
     )
 
 
+def solve(questions: DataFrame, backend, model: str = "") -> DataFrame:
+    """Independent solutions of questions (id, question), parsed without the fallback."""
+    work = questions.withColumn("prompt", chat.independent(F.col("question")))
+    out = work.join(backend.run(work, ["id"]), "id").withColumn("solution", T.strip(F.col("text")))
+    out = out.withColumn("p", T.final_answer(F.col("solution")))
+    return out.select(
+        "id", T.sha256(F.col("question")).alias("question_sha256"), F.lit(model).alias("model"), F.col("solution").alias("independent_solution"),
+        F.col("p.value").alias("parsed_answer"), F.col("p.method").alias("parser_method"), F.when(F.col("finished"), "eos").otherwise("max_tokens").alias("finish_status"),
+    )
+
+
+def judge(candidates: DataFrame, backend) -> DataFrame:
+    """Verdicts about candidates one by one; the prompt is the chat as JSON."""
+    work = candidates.withColumn("prompt", F.to_json(chat.judge(F.col("question"), F.col("answer"), F.col("solution"))))
+    out = work.join(backend.run(work, KEY), KEY).withColumn("p", parsing.parse_judgment("text"))
+    return out.select(*KEY, T.sha256(F.col("solution")).alias("solution_sha256"), F.col("p.verdict").alias("verdict"), F.col("p.reason").alias("reason"), F.col("p.parse_status").alias("parse_status"), F.col("text").alias("raw_judgment"))
+
+
+def verify(bundles: DataFrame, members: DataFrame, backend) -> DataFrame:
+    """Verdicts about all candidates of a bundle at once.
+
+    ``bundles``: (id, bundle, prompt); ``members``: (id, bundle, candidate_index, solution).  Of
+    items with the same index the last counts; a candidate without one gets the defaults.
+    """
+    out = backend.run(bundles, ["id", "bundle"]).withColumn("p", parsing.parse_judgments("text"))
+    items = out.select("id", "bundle", F.posexplode("p.items").alias("place", "item"))
+    last = items.groupBy("id", "bundle", F.col("item.candidate_index").alias("candidate_index")).agg(F.max_by("item", "place").alias("item"))
+    rows = members.join(out.select("id", "bundle", "finished", F.col("p.parse_status").alias("status")), ["id", "bundle"]).join(last, ["id", "bundle", "candidate_index"], "left")
+    verdict, kind = F.coalesce("item.verdict", F.lit("UNCERTAIN")), F.coalesce("item.failure_type", F.lit("OTHER"))
+    reason = F.coalesce("item.reason", F.lit("Missing candidate judgment."))
+    good = verdict.isin("PASS", "FAIL", "UNCERTAIN") & (reason != "")
+    return rows.select(
+        "id", "candidate_index", T.sha256(F.col("solution")).alias("solution_sha256"), F.when(good, verdict).otherwise("UNCERTAIN").alias("verdict"),
+        F.when(good, kind).otherwise("OTHER").alias("failure_type"), F.when(good, reason).otherwise("Invalid verifier item.").alias("reason"),
+        F.when(good & F.col("finished") & (F.col("status") == "ok"), "ok").otherwise("incomplete_or_parse_error").alias("parse_status"),
+    )
+
+
+def token_lengths(df: DataFrame, text: str, build: Callable[[], Callable[[list[str]], list[int]]]) -> DataFrame:
+    """``df`` with ``tokens``: lengths by a tokenizer that is built once per worker."""
+    names = df.columns
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = None
+        for b in batches:
+            measure = measure or build()
+            sizes = measure([t or "" for t in b.column(names.index(text)).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int32())], [*names, "tokens"])
+
+    return df.mapInArrow(count, StructType([*df.schema.fields, StructField("tokens", IntegerType())]))
+
+
 def evaluate(questions: DataFrame, backend, prompt) -> DataFrame:
     """Predictions of a model for held-out questions, with their correctness."""
     work = questions.withColumn("prompt", prompt)

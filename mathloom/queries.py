@@ -495,6 +495,11 @@ def judge_messages(r):
     return r.candidates.select("row_no", m[1]["content"].alias("user"))
 
 
+@query
+def independent_prompt(r):
+    return r.source.where("valid").select("id", chat.independent(F.col("question")).alias("prompt"))
+
+
 @query
 def training_example(r):
     rows = r.table("reasoning_train_sft").where("question is not null and completion is not null")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mathloom.functions import text as T
-from mathloom.plans.inference import CallableBackend, RecordedBackend, evaluate, generate, resume
+from mathloom.plans.inference import CallableBackend, RecordedBackend, evaluate, generate, judge, resume, solve, token_lengths, verify
 from mathloom.sources import files
 from mathloom.streaming.incremental import work_off
 
@@ -59,6 +59,23 @@ def test_backends(spark):
     assert len(got) == 1 and got[0].correct and not got[0].truncated
 
 
+VERDICTS = '{"judgments": [{"candidate_index": 0, "verdict": "PASS", "reason": "x"}, {"candidate_index": 0, "verdict": "fail", "reason": "y"}, {"candidate_index": 1, "verdict": "maybe", "reason": "z"}]}'
+
+
+def test_solve_judge_verify(spark):
+    q = spark.createDataFrame([("a", "0", "q", "5", "s")], "id string, candidate_index string, question string, answer string, solution string")
+    solved = solve(q.select("id", "question"), CallableBackend(lambda: lambda ps: [("w\nFinal answer: 5 ", True) for _ in ps]), "m").first()
+    assert (solved.parsed_answer, solved.parser_method, solved.finish_status, solved.independent_solution) == ("5", "final_answer", "eos", "w\nFinal answer: 5")
+    judged = judge(q, CallableBackend(lambda: lambda ps: [('{"verdict": "fail", "reason": "no"}', True) for _ in ps])).first()
+    assert (judged.verdict, judged.parse_status, judged.solution_sha256) == ("FAIL", "ok", hashlib.sha256(b"s").hexdigest())
+    text = VERDICTS
+    bundles = spark.createDataFrame([("a", 0, "p")], "id string, bundle int, prompt string")
+    members = spark.createDataFrame([("a", 0, str(i), "s") for i in range(3)], "id string, bundle int, candidate_index string, solution string")
+    got = {r.candidate_index: (r.verdict, r.reason, r.parse_status) for r in verify(bundles, members, CallableBackend(lambda: lambda ps: [(text, True) for _ in ps])).collect()}
+    assert got == {"0": ("FAIL", "y", "ok"), "1": ("UNCERTAIN", "Invalid verifier item.", "incomplete_or_parse_error"), "2": ("UNCERTAIN", "Missing candidate judgment.", "ok")}
+    assert token_lengths(q, "question", lambda: lambda ts: [len(t) for t in ts]).first().tokens == 1
+
+
 def test_resume(spark):
     work = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, t string")
     done = spark.createDataFrame([("a", "1")], "id string, h string")
