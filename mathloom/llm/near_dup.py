@@ -28,6 +28,8 @@ _U = np.uint64
 #: Texts of a leaf, and of a subtree that one task holds.
 LEAF, SUBTREE = 32, 1024
 WORDS_64 = 4
+#: Row numbers up to this many are broadcast (8 bytes each).
+BROADCAST_ROWS = 200_000
 
 
 def _least(share: Fraction, n: np.ndarray) -> np.ndarray:
@@ -202,11 +204,16 @@ def possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, share: Fraction)
 
 
 def dual_traversal(x: SignatureTree, y: SignatureTree, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Members of two trees that may be similar, traversing pairs of nodes from the roots down."""
+    """Members of two trees that may be similar, traversing pairs of nodes from the roots down.
+
+    Of a tree with itself each pair of members comes once, and none with itself.
+    """
     p, q = len(x.levels) - 1, len(y.levels) - 1
     i = j = np.zeros(1, dtype=np.int64)
     while True:
         good = possible(x.levels[p], i, y.levels[q], j, share)
+        if x is y:
+            good &= (i < j) if p == 0 else (i <= j)
         i, j = i[good], j[good]
         if not len(i) or p == q == 0:
             return x.order[i], y.order[j]
@@ -228,6 +235,7 @@ def dual_traversal(x: SignatureTree, y: SignatureTree, share: Fraction) -> tuple
 
 
 def _signatures(texts: DataFrame, k: int, least_words: int) -> DataFrame:
+    """Bitmap, size and distinct k-word hashes of each text."""
     names = [f"s{i}" for i in range(WORDS_64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,17 +250,61 @@ def _signatures(texts: DataFrame, k: int, least_words: int) -> DataFrame:
                 np.bitwise_or.at(bits, (owner, (place >> _U(6)).astype(np.int64)), _U(1) << (place & _U(63)))
                 good = np.flatnonzero(w.counts >= max(least_words, k))
                 if len(good):
-                    cols = [pa.array(kernels.sequence_hash(w)[good].view(np.int64)), pa.array(np.diff(offsets)[good].astype(np.int32)), *(pa.array(bits[good, i].view(np.int64)) for i in range(WORDS_64))]
-                    yield pa.RecordBatch.from_arrays(cols, ["seq", "size", *names])
+                    use = np.repeat(w.counts >= max(least_words, k), np.diff(offsets))
+                    sizes = np.diff(offsets)[good]
+                    own = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(grams[use].view(np.int64)))
+                    cols = [pa.array(kernels.sequence_hash(w)[good].view(np.int64)), pa.array(sizes.astype(np.int32)), own, *(pa.array(bits[good, i].view(np.int64)) for i in range(WORDS_64))]
+                    yield pa.RecordBatch.from_arrays(cols, ["seq", "size", "grams", *names])
+
+    return texts.mapInArrow(run, "seq bigint, size int, grams array<bigint>, " + ", ".join(f"{n} bigint" for n in names))
+
+
+def _bit_rows(lists: list[np.ndarray]) -> np.ndarray:
+    """A bitmap per list, one bit for each different value of any list."""
+    size = np.array([len(x) for x in lists])
+    _, place = np.unique(np.concatenate(lists), return_inverse=True)
+    width = (int(place.max(initial=0)) >> 6) + 1
+    out = np.zeros((len(lists), width), dtype=_U)
+    np.bitwise_or.at(out, (np.repeat(np.arange(len(lists)), size), place >> 6), _U(1) << (place.astype(_U) & _U(63)))
+    return out
 
-    return texts.mapInArrow(run, "seq bigint, size int, " + ", ".join(f"{n} bigint" for n in names)).dropDuplicates(["seq"])
+
+def _shared(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits that rows i and j have in common, a bounded number of pairs at a time."""
+    step = max(1, 4_000_000 // rows.shape[1])
+    parts = [np.bitwise_count(rows[i[x : x + step]] & rows[j[x : x + step]]).sum(axis=1, dtype=np.int64) for x in range(0, len(i), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+
+
+def _traverse(table: pa.Table, share: Fraction) -> pa.Table:
+    """Links of the members of two subtrees: traversed, taken in their first common tree, verified."""
+    names = [f"s{i}" for i in range(WORDS_64)]
+    side, token = table.column("side").to_numpy(), table.column("token")[0].as_py()
+    seq, size = table.column("seq").to_numpy(), table.column("size").to_numpy().astype(np.int64)
+    bits = np.column_stack([table.column(n).to_numpy() for n in names]).view(_U)
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    first = SignatureTree(bits[one], size[one])
+    i, j = dual_traversal(first, SignatureTree(bits[two], size[two]) if len(two) else first, share)
+    i, j = one[i], (two if len(two) else one)[j]
+    # Texts of a large tree mostly share many trees: a pair belongs to the first of them.
+    earlier = [np.array([t for t in x if t < token], dtype=np.int64) for x in table.column("trees").to_pylist()]
+    fresh = _shared(_bit_rows(earlier), i, j) == 0
+    i, j = i[fresh], j[fresh]
+    shared = _shared(_bit_rows([np.array(x, dtype=np.int64) for x in table.column("grams").to_pylist()]), i, j)
+    near = share.denominator * shared >= share.numerator * (size[i] + size[j] - shared)
+    x, y = seq[i[near]], seq[j[near]]
+    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
 
 def _large_trees(members: DataFrame, signatures: DataFrame, share: Fraction, subtree: int) -> DataFrame:
-    """Pairs of the large trees' members that the dual traversal leaves."""
+    """Verified links of the large trees' members.
+
+    The list of a text's trees is as long as the number of its keys at most.
+    """
     names = [f"s{i}" for i in range(WORDS_64)]
     counts = members.groupBy("token").agg(F.count("*").alias("texts"))
-    spread = members.join(counts, "token").select("token", "seq", F.pmod(F.xxhash64("seq"), F.ceil(F.col("texts") / subtree)).alias("part")).join(signatures, "seq")
+    trees = members.groupBy("seq").agg(F.collect_list("token").alias("trees")).join(signatures, "seq")
+    spread = members.join(counts, "token").select("token", "seq", F.pmod(F.xxhash64("seq"), F.ceil(F.col("texts") / subtree)).alias("part")).join(trees, "seq")
     # Subtrees hold texts of like size, so that size ranges tell them apart.
     spread = stage(spread.withColumn("part", F.concat_ws(":", F.floor(F.log2(F.col("size") + 1) * 2).cast("string"), F.col("part").cast("string"))), "tree-members")
     pop = sum((F.bit_count(n) for n in names[1:]), F.bit_count(names[0]))
@@ -265,19 +317,10 @@ def _large_trees(members: DataFrame, signatures: DataFrame, share: Fraction, sub
     joined = stage(joined.withColumn("pair", F.concat_ws("|", F.col("token").cast("string"), "a_part", "b_part")), "node-pairs")
     left = spread.join(joined.withColumnRenamed("a_part", "part"), ["token", "part"]).withColumn("side", F.lit(0))
     right = spread.join(joined.where("a_part != b_part").withColumnRenamed("b_part", "part"), ["token", "part"]).withColumn("side", F.lit(1))
-    columns = ["pair", "side", "seq", "size", *names]
+    columns = ["pair", "token", "side", "seq", "size", "trees", "grams", *names]
 
     def traverse(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        seq, size = table.column("seq").to_numpy(), table.column("size").to_numpy().astype(np.int64)
-        bits = np.column_stack([table.column(n).to_numpy() for n in names]).view(_U)
-        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        two = two if len(two) else one
-        i, j = dual_traversal(SignatureTree(bits[one], size[one]), SignatureTree(bits[two], size[two]), share)
-        x, y = seq[one[i]], seq[two[j]]
-        keep = x != y
-        pairs = np.unique(np.column_stack((np.minimum(x, y)[keep], np.maximum(x, y)[keep])), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        return _traverse(table, share)
 
     return left.select(columns).unionByName(right.select(columns)).groupBy("pair").applyInArrow(traverse, "a bigint, b bigint")
 
@@ -318,10 +361,15 @@ def near_links(texts: DataFrame, least: float = 0.8, k: int = 5, least_words: in
     found = stage(_leaves(postings.sortWithinPartitions("key", "seq"), leaf), "tree-leaves")
     pairs = found.where("kind = 0").select("a", "b")
     large = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("seq"))
-    if large.limit(1).count():
-        pairs = pairs.unionByName(_large_trees(large.distinct(), _signatures(texts, k, least_words), share, subtree))
     firsts = members.groupBy("seq").agg(F.min("row").alias("row"))
-    return _verified(pairs.distinct(), firsts, texts, share, k), members
+    links = _verified(pairs.distinct(), firsts, texts, share, k)
+    if large.limit(1).count():
+        large = large.distinct()
+        rows = stage(large.select("seq").distinct().join(firsts, "seq").select("row"), "tree-rows")
+        # Only texts of large trees are read again; few of them are picked without a shuffle.
+        picked = texts.join(F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows, "row")
+        links = links.unionByName(_large_trees(large, _signatures(picked, k, least_words), share, subtree)).distinct()
+    return links, members
 
 
 def near_pairs(texts: DataFrame, least: float = 0.8, k: int = 5, least_words: int = 0, leaf: int = LEAF, subtree: int = SUBTREE) -> DataFrame:
