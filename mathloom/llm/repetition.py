@@ -127,7 +127,7 @@ def fit(df: DataFrame, text: str, key: str, least_share: float, least_words: int
     """
     share = min(1.0, 2.0 * sample_rows / max(df.count(), 1))
     pool = df.where(F.col(text).isNotNull()).withColumn("h_", F.xxhash64(F.col(key)))
-    pool = pool.where(F.col("h_") <= int((2**64 - 1) * share) - 2**63)
+    pool = pool.where(F.col("h_") <= min(int(2**64 * share) - 2**63, 2**63 - 1))
     sample = [r[0] for r in pool.orderBy("h_").limit(sample_rows).select(text).collect()]
     n, runs, distinct, rows = statistics(sample)
     forest = IsolationForest(rows)
