@@ -77,6 +77,21 @@ def test_groups_are_the_connected_texts(spark):
     assert got == {i: label[i] for i, t in enumerate(texts) if len(words(t)) >= 30}
 
 
+def test_groups_of_long_chains_are_whole(spark):
+    w = [f"w{i}" for i in range(40)]
+    chain = []
+    for i in range(120):
+        w = w[:]
+        w[4 * i % 36 + 2] = f"c{i}"
+        chain.append(" ".join(w))
+    # Row numbers rise and then fall along the chain.
+    order = [*range(0, 120, 2), *range(119, 0, -2)]
+    df = spark.createDataFrame(list(zip(order, chain)), "row long, text string")
+    pairs = near_dup.near_pairs(df, 0.8, 3, 30)
+    assert pairs.count() == 119
+    assert {(r.row, r.group) for r in near_dup.near_groups(df, 0.8, 3, 30).collect()} == {(i, 0) for i in range(120)}
+
+
 def test_dual_traversal_loses_no_pair():
     from fractions import Fraction
 
