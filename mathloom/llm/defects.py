@@ -3,12 +3,13 @@
 Responses are sorted by their text.  A shortened version of another response is a prefix of the
 next different text in that order, so each response is compared with one neighbour only.  Where
 the text alone doesn't tell whether it is complete, that comparison decides, or a spike in the
-number of responses of exactly its length, as a length limit leaves.  Rules find the other
+number of different responses of exactly its length, as a length limit leaves.  Rules find the other
 defects: no content, refusal, the question copied, another language.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from mathloom.scratch import stage
 
 EMPTY, REFUSAL, COPIED, LANGUAGE, TRUNCATED = "empty", "refusal", "copied_question", "other_language", "truncated"
-#: The text is complete; open at its end, so that a neighbour or a spike may show it cut.
-COMPLETE, OPEN = "complete", "open"
+#: The text is complete; open at its end, so that a neighbour or a spike may show it cut; the same,
+#: but it ends in its answer, so that it doesn't count towards a spike.
+COMPLETE, OPEN, ENDED = "complete", "open", "ended"
 
 WORD = re.compile(r"[^\W_]+")
 _ASCII_WORDS = bytes(i if chr(i).isalnum() and i < 128 else 32 for i in range(256))
@@ -57,6 +59,7 @@ BARE_FINAL = re.compile(r"(?:\*\*\s*)?(?:\b(?:the\s+)?final\s+answer\b|\bresult\
 _LEAD = re.compile(r"^\s*(?:[*#•\-]\s*)*(?:problem|question|task|exercise|aufgabe|frage|problème|problema|pregunta|문제|질문)\s*[:.]\s*", re.IGNORECASE)
 CLOSERS = frozenset("therefore requested completes conclude concludes ends termina pedido entonces así damit gesuchte lautet ende ainsi cherché 그러므로 구하는 답은".split())
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+|\n")
+_LAST_VALUE = re.compile(r"(?:answer\W{0,12}|boxed\s*\{\s*\W{0,3})\d[\d.,/ ]*\W*$")
 _ELLIPSIS = re.compile(r"(?:\.\.\.|…)\W*$")
 _LABELLED = re.compile(r"[ \t]*[A-Za-z][A-Za-z ]*:")
 _TERMINAL = frozenset(".!?。”\"')}]*$”")
@@ -117,11 +120,22 @@ def _closed(lowered: str, words: list[str]) -> bool:
     if CLOSERS.isdisjoint(words):
         return False
     for s in reversed(_SENTENCE.split(lowered)):
-        if not s.rstrip().endswith("?") and not CLOSERS.isdisjoint(words_of(s)) and any(c.isdigit() for c in s):
+        if not s.rstrip().endswith("?") and _concluding(s):
             return True
     return False
 
 
+def _concluding(sentence: str) -> bool:
+    """Whether a lower-cased sentence is a conclusion with a number."""
+    return not CLOSERS.isdisjoint(words_of(sentence)) and any(map(str.isdigit, sentence))
+
+
+def _ended(lowered: str) -> bool:
+    """Whether the stripped, lower-cased text ends in its answer: a labelled value or a conclusion."""
+    line = lowered[lowered.rfind("\n") + 1 :]
+    return bool(_LAST_VALUE.search(line)) or _concluding(_SENTENCE.split(line)[-1])
+
+
 class Question:
     """What is compared of a question: its words, their pairs and its language."""
 
@@ -187,7 +201,7 @@ class Judge:
         return found
 
     def __call__(self, question: str | None, text: str | None) -> str:
-        """A defect, or COMPLETE or OPEN."""
+        """A defect, or COMPLETE, OPEN or ENDED."""
         bare = text.strip() if text else ""
         if not bare:
             return EMPTY
@@ -219,7 +233,7 @@ class Judge:
                 others = [x for x in lines[:-1] if len(x) > 40]
                 if others and all(x[-1] in _TERMINAL for x in others):
                     return TRUNCATED
-            return OPEN
+            return ENDED if _ended(lowered) else OPEN
         return COMPLETE
 
 
@@ -234,7 +248,14 @@ def shortened(text: str, longer: str) -> bool:
     return rest[0] not in "\r\n" and bare[-1:] not in ".!?。" and not _stated(bare.splitlines()[-1].lower()) and any(c.isalnum() for c in rest)
 
 
-_SORTED = "part int, row bigint, defect string, size int, first string, second string, last string"
+_SORTED = "part int, row bigint, defect string, size int, hash bigint, waits boolean, first string, second string, last string"
+
+
+def _batch(part: int, rows: list[tuple], waits: bool, edges: list[tuple]) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in _SORTED.split(", ")))
+    types = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    columns = zip(*((part, *r, waits, *e) for r, e in zip(rows, edges)))
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(columns, kinds)], names)
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
@@ -245,43 +266,29 @@ def _neighbours(rows: DataFrame) -> DataFrame:
         judge = Judge()
         edges: list[str] = []
         current: str | None = None
-        waiting: list[int] = []
+        waiting: list[tuple[int, str, int, int]] = []
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            ids, questions = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list[tuple[int, str, int]] = []
-            for row, question, text in zip(ids, questions, texts):
+            out: list[tuple[int, str, int, int]] = []
+            for row, question, text, code in zip(*(c.to_pylist() for c in batch.columns)):
                 if text is not None and text != current:
                     if waiting:
-                        verdict = TRUNCATED if shortened(current, text) else OPEN
-                        out += [(w, verdict, len(current)) for w in waiting]
+                        cut = shortened(current, text)
+                        out += [(w[0], TRUNCATED, *w[2:]) if cut else w for w in waiting]
                         waiting = []
                     current = text
                     if len(edges) < 2:
                         edges.append(text)
                 verdict = judge(question, text)
-                if verdict == OPEN:
-                    waiting.append(row)
+                if verdict in (OPEN, ENDED):
+                    waiting.append((row, verdict, len(text), code))
                 elif verdict != COMPLETE:
-                    out.append((row, verdict, len(text or "")))
+                    out.append((row, verdict, len(text or ""), code))
             if out:
-                a, b, c = zip(*out)
-                n = len(out)
-                none = pa.nulls(n, pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(a, pa.int64()), pa.array(b), pa.array(c, pa.int32()), none, none, none], _names)
+                yield _batch(part, out, False, [(None, None, None)] * len(out))
         if edges:
-            n = len(waiting) + 1
             # The part's own row comes first; the rows still waiting follow.
-            columns = [
-                pa.array([part] * n, pa.int32()),
-                pa.array([None, *waiting], pa.int64()),
-                pa.array([None] + ["waiting"] * (n - 1), pa.string()),
-                pa.array([None] + [len(current)] * (n - 1), pa.int32()),
-                *(pa.array([x] + [None] * (n - 1), pa.string()) for x in (edges[0], edges[1] if len(edges) > 1 else None, current)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, _names)
-
-    _names = [x.split()[0] for x in _SORTED.split(", ")]
+            yield _batch(part, [(None, None, None, None), *waiting], True, [(edges[0], edges[1] if len(edges) > 1 else None, current), *[(None, None, None)] * len(waiting)])
+
     return rows.mapInArrow(run, _SORTED)
 
 
@@ -307,16 +314,24 @@ def _edges(parts: DataFrame) -> DataFrame:
     return parts.select("part", "first", "second", "last").repartition(1).sortWithinPartitions("part").mapInArrow(run, "part int")
 
 
-def _spikes(lengths: DataFrame, times: float, least: int, around: int) -> DataFrame:
-    """Lengths that at least ``least`` responses have, ``times`` as many as the lengths around."""
-    bars = lengths.groupBy("size").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("size") / 4096))
-    # Neighbours across a block's edge are left out of the mean; blocks keep the window small.
-    near = Window.partitionBy("block").orderBy("size").rangeBetween(-around, around)
-    rest = (F.sum("n").over(near) - F.col("n")) / F.lit(2.0 * around)
-    return bars.withColumn("mean", rest).where((F.col("n") >= least) & (F.col("n") > times * F.col("mean"))).select("size")
+def _spikes(lengths: DataFrame, times: float, chance: float, around: int) -> DataFrame:
+    """Lengths that more different texts have than chance allows, and ``times`` as many as those around.
+
+    If a text were as likely to have this length as one of the lengths around, the share of this
+    one among all would be binomial; the limit is Chernoff's bound of its tail.  Both limits are
+    relative to the neighbours, and copies of a text count once.
+    """
+    bars = lengths.groupBy("size").agg(F.count_distinct("hash").alias("n"))
+    shifts = F.explode(F.sequence(F.lit(-around), F.lit(around))).alias("shift")
+    near = bars.select("size", "n", shifts).groupBy((F.col("size") + F.col("shift")).alias("size")).agg(F.sum("n").alias("all"))
+    places = F.least(F.lit(around), F.col("size") - 1) + F.lit(around)
+    share, own = 1.0 / (places + 1), F.col("n") / F.col("all")
+    rest = F.when(own < 1, (1 - own) * F.log((1 - own) / (1 - share))).otherwise(F.lit(0.0))
+    tail = F.col("all") * (own * F.log(own / share) + rest)
+    return bars.join(near, "size").where((F.col("n") * places > times * (F.col("all") - F.col("n"))) & (tail >= -math.log(chance))).select("size")
 
 
-def broken_pairs(df: DataFrame, row: str = "row_no", question: str = "question", text: str = "solution", spike_times: float = 8.0, spike_rows: int = 50) -> DataFrame:
+def broken_pairs(df: DataFrame, row: str = "row_no", question: str = "question", text: str = "solution", spike_times: float = 8.0, spike_chance: float = 1e-9) -> DataFrame:
     """``row`` and ``defect`` of each defective row, the first that applies of empty, refusal,
     copied_question, other_language and truncated.
 
@@ -325,14 +340,13 @@ def broken_pairs(df: DataFrame, row: str = "row_no", question: str = "question",
     each with its own question; other columns aren't read; an empty table gives no rows.
     """
     rows = df.select(df[row].alias("row"), df[question].alias("question"), df[text].alias("text"))
-    ordered = rows.repartitionByRange("text", "row").sortWithinPartitions("text", "row")
+    ordered = rows.repartitionByRange("text", "row").sortWithinPartitions("text", "row").withColumn("hash", F.xxhash64("text"))
     judged = stage(_neighbours(ordered), "defect-rows")
     cut = _edges(judged.where("row is null")).withColumn("cut", F.lit(True))
-    found = judged.where("row is not null").select("part", "row", "defect", "size")
     # Parts are as many as tasks of the sort: a table of a few bytes each.
-    waiting = found.where("defect = 'waiting'").join(F.broadcast(cut), "part", "left").select("row", F.when(F.col("cut"), TRUNCATED).otherwise(OPEN).alias("defect"), "size")
-    settled = found.where("defect != 'waiting'").select("row", "defect", "size").unionByName(waiting)
-    open_rows = settled.where(F.col("defect") == OPEN)
-    spikes = _spikes(open_rows, spike_times, spike_rows, 16)
-    at_limit = open_rows.join(spikes, "size", "left_semi").select("row", F.lit(TRUNCATED).alias("defect"))
-    return settled.where(F.col("defect") != OPEN).select("row", "defect").unionByName(at_limit).withColumnRenamed("row", row)
+    found = judged.where("row is not null").join(F.broadcast(cut), "part", "left")
+    settled = found.select("row", F.when(F.col("waits") & F.col("cut"), TRUNCATED).otherwise(F.col("defect")).alias("defect"), "size", "hash")
+    spikes = _spikes(settled.where(F.col("defect") == OPEN), spike_times, spike_chance, 16)
+    still = F.col("defect").isin(OPEN, ENDED)
+    at_limit = settled.where(still).join(spikes, "size", "left_semi").select("row", F.lit(TRUNCATED).alias("defect"))
+    return settled.where(~still).select("row", "defect").unionByName(at_limit).withColumnRenamed("row", row)

@@ -48,6 +48,17 @@ def test_a_length_limit_shows_as_a_spike(spark):
     assert defects.broken_pairs(df.limit(0)).collect() == []
 
 
+def test_spikes_count_different_texts(spark):
+    others = [f"Answer: {i}. " + "other words " * (10 + i % 40) + f"end{i}" for i in range(200)]
+    copies = ["So 6 * 7 = 42.\nFinal answer: 42"] * 60 + [STEPS + "\nAnswer: 7. All in all that is it"] * 60
+    numbers = [STEPS + f"\nFinal answer: {i}" for i in range(100, 200)]
+    cut = [(f"Answer: {i}. " + "word " * 40 + f"tail{i}" + "x" * 400)[:300] for i in range(30)]
+    texts = others + copies + numbers + cut
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "row_no long, question string, solution string")
+    got = {r.row_no for r in defects.broken_pairs(df).collect()}
+    assert got == set(range(len(texts) - 30, len(texts)))
+
+
 def test_null_questions_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, None, GERMAN + "\nFinal answer: 1"), (2, None, None), (3, QUESTION, None), (4, QUESTION, GERMAN), (5, QUESTION, GERMAN)], "row_no long, question string, solution string")
     assert {r.row_no: r.defect for r in defects.broken_pairs(df).collect()} == {2: "empty", 3: "empty", 4: "other_language", 5: "other_language"}
