@@ -1,10 +1,10 @@
 """Broken prompt and response pairs (problem 4).
 
 Responses are sorted by their text.  A shortened version of another response is a prefix of the
-next different text in that order, so each response is compared with one neighbour only.  Where
-the text alone doesn't tell whether it is complete, that comparison decides, or a spike in the
-number of different responses of exactly its length, as a length limit leaves.  Rules find the other
-defects: no content, refusal, the question copied, another language.
+next different text in that order, so each response is compared with one neighbour only.  A spike
+in the number of different responses of exactly one length shows a length limit.  A rule on the
+phrases at the end stands beside both, with the recorded finish status and parser method as
+evidence.  Rules find the other defects: no content, refusal, the question copied, another language.
 """
 
 from __future__ import annotations
@@ -59,6 +59,12 @@ BARE_FINAL = re.compile(r"(?:\*\*\s*)?(?:\b(?:the\s+)?final\s+answer\b|\bresult\
 _LEAD = re.compile(r"^\s*(?:[*#•\-]\s*)*(?:problem|question|task|exercise|aufgabe|frage|problème|problema|pregunta|문제|질문)\s*[:.]\s*", re.IGNORECASE)
 CLOSERS = frozenset("therefore requested completes conclude concludes ends termina pedido entonces así damit gesuchte lautet ende ainsi cherché 그러므로 구하는 답은".split())
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+|\n")
+_HENCE = re.compile(
+    r"\W*(?:hence|thus|so|consequently|accordingly|altogether|in total|also|folglich|somit|daher|insgesamt|donc|finalement|au total|luego|finalmente|en total|por (?:lo )?tanto)\b|\W*(?:따라서|결국)"
+)
+_SAID_VALUE = re.compile(r"(?:answer\W{0,12}|boxed\s*\{\s*\W{0,3})(\d[\d.,]*)")
+_NUMBER = re.compile(r"\d[\d.,]*")
+_CLOSING_MARKS = "”\"')}]*$ "
 _LAST_VALUE = re.compile(r"(?:answer\W{0,12}|boxed\s*\{\s*\W{0,3})\d[\d.,/ ]*\W*$")
 _ELLIPSIS = re.compile(r"(?:\.\.\.|…)\W*$")
 _LABELLED = re.compile(r"[ \t]*[A-Za-z][A-Za-z ]*:")
@@ -136,6 +142,22 @@ def _ended(lowered: str) -> bool:
     return bool(_LAST_VALUE.search(line)) or _concluding(_SENTENCE.split(line)[-1])
 
 
+def _last_sentence(lowered: str) -> str:
+    return next((s for s in reversed(_SENTENCE.split(lowered)) if s.strip()), "")
+
+
+def _concluded(lowered: str, finish: str | None, method: str | None) -> bool:
+    """Whether a text without a closing phrase ends with a conclusion, by what was recorded of it.
+
+    It ends in a full stop, no token limit was met, and the parser found a marked answer or the last
+    sentence begins like a conclusion and has a number.
+    """
+    if lowered.rstrip(_CLOSING_MARKS)[-1:] not in (".", "!", "。") or finish == "max_tokens":
+        return False
+    last = _last_sentence(lowered)
+    return method in ("final_answer", "boxed") or bool(_HENCE.match(last)) and any(map(str.isdigit, last))
+
+
 class Question:
     """What is compared of a question: its words, their pairs and its language."""
 
@@ -200,7 +222,7 @@ class Judge:
             found = self.questions[text] = Question(text)
         return found
 
-    def __call__(self, question: str | None, text: str | None) -> str:
+    def __call__(self, question: str | None, text: str | None, finish: str | None = None, method: str | None = None) -> str:
         """A defect, or COMPLETE, OPEN or ENDED."""
         bare = text.strip() if text else ""
         if not bare:
@@ -223,7 +245,7 @@ class Judge:
             return TRUNCATED
         if bare[0] == "{" and '"' in bare[:20] and bare[-1] != "}" and not re.search(r"}\W*$", bare[-40:]):
             return TRUNCATED
-        if not _closed(lowered, words):
+        if not _closed(lowered, words) and not _concluded(lowered, finish, method):
             return TRUNCATED
         if bare[-1] not in _TERMINAL:
             lines = [x.rstrip() for x in bare.splitlines() if x.strip()]
@@ -233,7 +255,9 @@ class Judge:
                 others = [x for x in lines[:-1] if len(x) > 40]
                 if others and all(x[-1] in _TERMINAL for x in others):
                     return TRUNCATED
-            return ENDED if _ended(lowered) else OPEN
+            if not _ended(lowered):
+                return OPEN
+            return COMPLETE if finish == "eos" else ENDED
         return COMPLETE
 
 
@@ -245,10 +269,21 @@ def shortened(text: str, longer: str) -> bool:
     rest = longer[len(bare) :]
     if bare[-1:].isalnum() and (rest[0].isalnum() or rest[0] in ",." and rest[1:2].isdigit()):
         return True
-    return rest[0] not in "\r\n" and bare[-1:] not in ".!?。" and not _stated(bare.splitlines()[-1].lower()) and any(c.isalnum() for c in rest)
+    if rest[0] not in "\r\n" and bare[-1:] not in _TERMINAL and bare[-1:] not in ".!?。" and not _stated(bare.splitlines()[-1].lower()) and any(map(str.isalnum, rest)):
+        return True
+    lowered = bare.lower()
+    if _stated(lowered):
+        return False
+    last = _last_sentence(lowered)
+    if _concluding(last):
+        # Cut after a conclusion that wasn't the last one: the longer text states another value.
+        said = _SAID_VALUE.search(rest.lower())
+        plain = lambda x: x.replace(",", "").rstrip(".")
+        return bool(said) and plain(said[1]) not in map(plain, _NUMBER.findall(last))
+    return any(map(str.isalnum, without_answer(rest)))
 
 
-_SORTED = "part int, row bigint, defect string, size int, hash bigint, waits boolean, first string, second string, last string"
+_SORTED = "part int, row bigint, defect string, size int, hash bigint, shown boolean, waits boolean, first string, second string, last string"
 
 
 def _batch(part: int, rows: list[tuple], waits: bool, edges: list[tuple]) -> pa.RecordBatch:
@@ -259,35 +294,34 @@ def _batch(part: int, rows: list[tuple], waits: bool, edges: list[tuple]) -> pa.
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
-    """Judged rows; rows of a part's last text stay open; one more row per part has its edge texts."""
+    """Judged rows, and whether the next text shows them cut; rows of a part's last text wait for
+    the next part's; one more row per part has its edge texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         judge = Judge()
         edges: list[str] = []
         current: str | None = None
-        waiting: list[tuple[int, str, int, int]] = []
+        waiting: list[tuple[int, str, int, int, bool]] = []
         for batch in batches:
-            out: list[tuple[int, str, int, int]] = []
-            for row, question, text, code in zip(*(c.to_pylist() for c in batch.columns)):
+            out: list[tuple[int, str, int, int, bool]] = []
+            for row, question, text, finish, method, code in zip(*(c.to_pylist() for c in batch.columns)):
                 if text is not None and text != current:
                     if waiting:
                         cut = shortened(current, text)
-                        out += [(w[0], TRUNCATED, *w[2:]) if cut else w for w in waiting]
+                        out += [(*w[:4], cut) for w in waiting if cut or w[1] != COMPLETE]
                         waiting = []
                     current = text
                     if len(edges) < 2:
                         edges.append(text)
-                verdict = judge(question, text)
-                if verdict in (OPEN, ENDED):
-                    waiting.append((row, verdict, len(text), code))
-                elif verdict != COMPLETE:
-                    out.append((row, verdict, len(text or ""), code))
+                verdict = judge(question, text, finish, method)
+                kept = (row, verdict, len(text or ""), code, False)
+                (waiting if verdict in (COMPLETE, OPEN, ENDED, TRUNCATED) else out).append(kept)
             if out:
                 yield _batch(part, out, False, [(None, None, None)] * len(out))
         if edges:
             # The part's own row comes first; the rows still waiting follow.
-            yield _batch(part, [(None, None, None, None), *waiting], True, [(edges[0], edges[1] if len(edges) > 1 else None, current), *[(None, None, None)] * len(waiting)])
+            yield _batch(part, [(None,) * 5, *waiting], True, [(edges[0], edges[1] if len(edges) > 1 else None, current), *[(None, None, None)] * len(waiting)])
 
     return rows.mapInArrow(run, _SORTED)
 
@@ -331,22 +365,33 @@ def _spikes(lengths: DataFrame, times: float, chance: float, around: int) -> Dat
     return bars.join(near, "size").where((F.col("n") * places > times * (F.col("all") - F.col("n"))) & (tail >= -math.log(chance))).select("size")
 
 
-def broken_pairs(df: DataFrame, row: str = "row_no", question: str = "question", text: str = "solution", spike_times: float = 8.0, spike_chance: float = 1e-9) -> DataFrame:
+def judged_pairs(df: DataFrame, row: str, question: str, text: str, finish: str, method: str, spike_times: float, spike_chance: float) -> DataFrame:
+    """``row``, ``defect`` and ``shown_by`` (rule, neighbour, rule and neighbour, or spike) of each defective row."""
+    recorded = [(df[c] if c in df.columns else F.lit(None)).cast("string").alias(n) for n, c in (("finish", finish), ("method", method))]
+    rows = df.select(df[row].alias("row"), df[question].alias("question"), df[text].alias("text"), *recorded)
+    ordered = rows.repartitionByRange("text", "row").sortWithinPartitions("text", "row").withColumn("hash", F.xxhash64("text"))
+    judged = stage(_neighbours(ordered), "defect-rows")
+    cut = _edges(judged.where("row is null")).withColumn("cut", F.lit(True))
+    # Parts are as many as tasks of the sort: a table of a few bytes each.
+    found = judged.where("row is not null").join(F.broadcast(cut), "part", "left")
+    settled = found.withColumn("shown", F.col("shown") | (F.col("waits") & F.coalesce("cut", F.lit(False))))
+    spikes = _spikes(settled.where((F.col("defect") == OPEN) & ~F.col("shown")), spike_times, spike_chance, 16)
+    sure = settled.where(F.col("shown") | ~F.col("defect").isin(COMPLETE, OPEN, ENDED))
+    by = F.when(F.col("shown") & (F.col("defect") == TRUNCATED), "rule and neighbour").when(F.col("shown"), "neighbour").otherwise("rule")
+    sure = sure.select("row", F.when(F.col("shown"), TRUNCATED).otherwise(F.col("defect")).alias("defect"), by.alias("shown_by"))
+    at_limit = settled.where(~F.col("shown") & F.col("defect").isin(OPEN, ENDED)).join(spikes, "size", "left_semi")
+    return sure.unionByName(at_limit.select("row", F.lit(TRUNCATED).alias("defect"), F.lit("spike").alias("shown_by"))).withColumnRenamed("row", row)
+
+
+def broken_pairs(
+    df: DataFrame, row: str = "row_no", question: str = "question", text: str = "solution", spike_times: float = 8.0, spike_chance: float = 1e-9, finish: str = "finish_status", method: str = "parser_method"
+) -> DataFrame:
     """``row`` and ``defect`` of each defective row, the first that applies of empty, refusal,
     copied_question, other_language and truncated.
 
     A null text is empty.  With a null question a text is neither copied nor in another language.
     A short but complete text isn't defective.  ``row`` must be unique; repeated texts are judged
-    each with its own question; other columns aren't read; an empty table gives no rows.
+    each with its own question; ``finish`` and ``method`` may be null or missing; other columns
+    aren't read; an empty table gives no rows.
     """
-    rows = df.select(df[row].alias("row"), df[question].alias("question"), df[text].alias("text"))
-    ordered = rows.repartitionByRange("text", "row").sortWithinPartitions("text", "row").withColumn("hash", F.xxhash64("text"))
-    judged = stage(_neighbours(ordered), "defect-rows")
-    cut = _edges(judged.where("row is null")).withColumn("cut", F.lit(True))
-    # Parts are as many as tasks of the sort: a table of a few bytes each.
-    found = judged.where("row is not null").join(F.broadcast(cut), "part", "left")
-    settled = found.select("row", F.when(F.col("waits") & F.col("cut"), TRUNCATED).otherwise(F.col("defect")).alias("defect"), "size", "hash")
-    spikes = _spikes(settled.where(F.col("defect") == OPEN), spike_times, spike_chance, 16)
-    still = F.col("defect").isin(OPEN, ENDED)
-    at_limit = settled.where(still).join(spikes, "size", "left_semi").select("row", F.lit(TRUNCATED).alias("defect"))
-    return settled.where(~still).select("row", "defect").unionByName(at_limit).withColumnRenamed("row", row)
+    return judged_pairs(df, row, question, text, finish, method, spike_times, spike_chance).select(row, "defect")

@@ -59,6 +59,19 @@ def test_spikes_count_different_texts(spark):
     assert got == set(range(len(texts) - 30, len(texts)))
 
 
+def test_neighbours_and_recorded_evidence_beside_the_phrases(spark):
+    early = "Therefore 3 of 71 wheels stay. " + STEPS
+    last = STEPS + " Therefore 12 stay."
+    cases = [
+        (early, "eos", "truncated"), (early + " Then 5 more come, which makes 8.\nFinal answer: 8", "eos", None),
+        ("A" + last, "eos", "truncated"), ("A" + last + " Of those 5 are sold.\nFinal answer: 7", "eos", None),
+        ("B" + last, "eos", None), ("B" + last + "\nFinal answer: 12", "eos", None),
+        ("C" + STEPS + " Hence x equals 42.", "eos", None), ("D" + STEPS + " Hence x equals 42.", None, None), ("E" + STEPS + " Hence x equals 42.", "max_tokens", "truncated"),
+    ]
+    df = spark.createDataFrame([(i, None, t, f) for i, (t, f, _) in enumerate(cases)], "row_no long, question string, solution string, finish_status string")
+    assert {r.row_no: r.defect for r in defects.broken_pairs(df).collect()} == {i: d for i, (*_, d) in enumerate(cases) if d}
+
+
 def test_null_questions_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, None, GERMAN + "\nFinal answer: 1"), (2, None, None), (3, QUESTION, None), (4, QUESTION, GERMAN), (5, QUESTION, GERMAN)], "row_no long, question string, solution string")
     assert {r.row_no: r.defect for r in defects.broken_pairs(df).collect()} == {2: "empty", 3: "empty", 4: "other_language", 5: "other_language"}
