@@ -75,34 +75,46 @@ class SuffixAutomaton:
 
         Of equally long runs the first counts.
         """
-        nexts, link, length = self.next, self.link, self.length
         best: dict[int, tuple[int, int]] = {}
+        for item, first, size in sorted(self.runs(sequence, least), key=lambda x: x[1]):
+            if best.get(item, (0, 0))[1] < size:
+                best[item] = (first, size)
+        return [(item, first, size) for item, (first, size) in best.items()]
+
+    def runs(self, sequence: list[int], least: int) -> list[tuple[int, int, int]]:
+        """(item, first place, length) of every common run of each item that is at least ``least``
+        long and part of no longer one at its place; runs may overlap."""
+        nexts, link, length = self.next, self.link, self.length
+        out: list[tuple[int, int, int]] = []
+        ending: dict[int, tuple[int, int]] = {}
         state = run = 0
         for place, word in enumerate(sequence):
             move = nexts[state].get(word) if word >= 0 else None
             if move is None:
-                if word < 0:
-                    state = run = 0
-                    continue
-                while state >= 0 and word not in nexts[state]:
+                while word >= 0 and state >= 0 and word not in nexts[state]:
                     state = link[state]
-                if state < 0:
+                if word < 0 or state < 0:
                     state = run = 0
-                    continue
-                run = length[state] + 1
-                state = nexts[state][word]
+                else:
+                    run = length[state] + 1
+                    state = nexts[state][word]
             else:
                 run += 1
                 state = move
-            if run >= least:
-                at, size = state, run
-                while at > 0 and size >= least:
-                    for item in self.items[at]:
-                        if best.get(item, (0, 0))[1] < size:
-                            best[item] = (place - size + 1, size)
-                    at = link[at]
-                    size = length[at] if at >= 0 else 0
-        return [(item, first, size) for item, (first, size) in best.items()]
+            now: dict[int, tuple[int, int]] = {}
+            at, size = state, run
+            while at > 0 and size >= least:
+                for item in self.items[at]:
+                    if item not in now:
+                        now[item] = (place - size + 1, size)
+                at = link[at]
+                size = length[at] if at >= 0 else 0
+            # The longest run that ends here goes on if it still begins where the one before began.
+            for item, (first, size) in ending.items():
+                if item not in now or now[item][0] != first:
+                    out.append((item, first, size))
+            ending = now
+        return out + [(item, first, size) for item, (first, size) in ending.items()]
 
 
 def _blocks(items: list[tuple], limit: int) -> Iterator[list[tuple]]:
@@ -128,12 +140,13 @@ def _index(block: list[tuple]) -> tuple[np.ndarray, list, SuffixAutomaton]:
     return vocabulary, [k for k, _ in block], automaton
 
 
-def _search(docs: DataFrame, block: list[tuple], least: int, kind: str, item_kind: str) -> DataFrame:
+def _search(docs: DataFrame, block: list[tuple], least: int, kind: str, item_kind: str, every: bool) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(block)
     item_type = pa.int64() if item_kind == "bigint" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, keys, automaton = _index(sent.value)
+        find = automaton.runs if every else automaton.matches
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in kernels.chunks(texts):
@@ -149,7 +162,7 @@ def _search(docs: DataFrame, block: list[tuple], least: int, kind: str, item_kin
                     a, b = w.offsets[i], w.offsets[i + 1]
                     if b - a < least or total[b] - total[a] < least:
                         continue
-                    rows += [(lo + i, *m) for m in automaton.matches(ids[a:b].tolist(), least)]
+                    rows += [(lo + i, *m) for m in find(ids[a:b].tolist(), least)]
                 if rows:
                     who, item, first, size = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
@@ -165,15 +178,7 @@ def _search(docs: DataFrame, block: list[tuple], least: int, kind: str, item_kin
     return docs.mapInArrow(run, SPANS.format(kind=kind, item=item_kind))
 
 
-def leaked_spans(
-    docs: DataFrame, items: DataFrame, least: int = 12, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS
-) -> DataFrame:
-    """Longest run of at least ``least`` words shared by each document and item.
-
-    Columns: ``doc_key``, ``item_key``, ``first_word`` (place of the run in the document, from 0)
-    and ``words`` (its length); one row per document and item.  Null, empty and short texts on
-    either side match nothing; repeated rows are each reported; empty tables give no rows.
-    """
+def _found(docs: DataFrame, items: DataFrame, least: int, doc_key: str, doc_text: str, item_key: str, item_text: str, block_words: int, every: bool) -> DataFrame:
     if least < 1:
         raise ValueError("least must be positive")
     rows = docs.select(docs[doc_key].alias("key"), docs[doc_text].alias("text")).where(F.length("text") >= 2 * least - 1)
@@ -183,13 +188,37 @@ def leaked_spans(
     found = None
     # The items stream to the driver a partition at a time; only one block is held at once.
     for block in _blocks(((r.k, r.t) for r in listed.toLocalIterator()), block_words):
-        part = _search(rows, block, least, kind, item_kind)
+        part = _search(rows, block, least, kind, item_kind, every)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = rows.sparkSession.createDataFrame([], SPANS.format(kind=kind, item=item_kind))
     return found.select(F.col("key_").alias(doc_key), F.col("item_").alias(item_key), "first_word", "words")
 
 
+def leaked_spans(
+    docs: DataFrame, items: DataFrame, least: int = 12, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """Longest run of at least ``least`` words shared by each document and item.
+
+    Columns: ``doc_key``, ``item_key``, ``first_word`` (place of the run in the document, from 0)
+    and ``words`` (its length); one row per document and item.  Null, empty and short texts on
+    either side match nothing; repeated rows are each reported; empty tables give no rows.
+    """
+    return _found(docs, items, least, doc_key, doc_text, item_key, item_text, block_words, False)
+
+
+def leaked_runs(
+    docs: DataFrame, items: DataFrame, least: int = 12, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """Every run of at least ``least`` words shared by a document and an item that is part of no longer one.
+
+    Columns: ``doc_key``, ``item_key``, ``first_word`` (place of the run in the document, from 0)
+    and ``words`` (its length); runs of one document and item may overlap.  Null, empty and short texts on
+    either side match nothing; repeated rows are each reported; empty tables give no rows.
+    """
+    return _found(docs, items, least, doc_key, doc_text, item_key, item_text, block_words, True)
+
+
 def without_spans(text: str | None, spans: list[tuple[int, int]], coverage: float = 0.5) -> str | None:
     """The text without the given (first word, number of words) runs; None if they cover too much.
 
@@ -212,3 +241,27 @@ def without_spans(text: str | None, spans: list[tuple[int, int]], coverage: floa
                 out.append(text[at:a])
             at = b
     return "".join(out) + text[at:]
+
+
+def without_leaks(
+    docs: DataFrame, items: DataFrame, least: int = 12, coverage: float = 0.5, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """``doc_key`` and ``doc_text`` of all documents, every leaked run removed.
+
+    A text of which the runs cover ``coverage`` or more becomes null.  Rows of one key must have
+    the same text; a null key keeps its text.
+    """
+    spans = leaked_runs(docs, items, least, doc_key, doc_text, item_key, item_text, block_words)
+    held = spans.groupBy(F.col(doc_key).alias("key")).agg(F.collect_set(F.struct("first_word", "words")).alias("spans"))
+    rows = docs.select(docs[doc_key].alias("key"), docs[doc_text].alias("text"))
+    plain = rows.join(held, "key", "left_anti")
+    found = rows.join(held, "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lists = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            left = [without_spans(t, [(x["first_word"], x["words"]) for x in spans], coverage) for t, spans in zip(texts, lists)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string())], ["key", "text"])
+
+    cleaned = found.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, text string")
+    return plain.unionByName(cleaned).withColumnsRenamed({"key": doc_key, "text": doc_text})

@@ -61,3 +61,26 @@ def test_spans_are_removed():
     assert leak.without_spans(text, [(1, 2)]) == "one  four five six seven"
     assert leak.without_spans(text, [(0, 6)]) is None
     assert leak.without_spans(None, [(0, 1)]) is None and leak.without_spans(text, []) == text
+
+
+def test_every_run_is_found():
+    rng = random.Random(6)
+    for _ in range(40):
+        item = [rng.randrange(3) for _ in range(25)]
+        machine = leak.SuffixAutomaton()
+        machine.add(item, 0)
+        text = [rng.choice([0, 1, 2, -1]) for _ in range(60)]
+        grams = {tuple(item[j : j + 4]) for j in range(len(item) - 3)}
+        covered = {p for i in range(len(text) - 3) if tuple(text[i : i + 4]) in grams for p in range(i, i + 4)}
+        assert {p for _, first, n in machine.runs(text, 4) for p in range(first, first + n)} == covered
+
+
+def test_all_passages_of_an_item_leave_the_text(spark):
+    words = [f"w{i}" for i in range(40)]
+    own = [" ".join(f"{x}{i}" for i in range(30)) for x in "abc"]
+    text = " ".join((own[0], " ".join(words[:15]), own[1], " ".join(words[20:34]), own[2]))
+    d = spark.createDataFrame([(1, text), (2, " ".join(words) + " tail"), (3, own[0]), (4, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    assert sorted((r.doc_id, r.first_word, r.words) for r in leak.leaked_runs(d, b).collect()) == [(1, 30, 15), (1, 75, 14), (2, 0, 40)]
+    got = {r.doc_id: r.text for r in leak.without_leaks(d, b).collect()}
+    assert {k: t and t.split() for k, t in got.items()} == {1: " ".join(own).split(), 2: None, 3: own[0].split(), 4: None}
