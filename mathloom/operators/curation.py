@@ -104,14 +104,14 @@ def _earlier_links(forms: DataFrame, threshold: float) -> DataFrame:
     return pairs.where(T.jaccard(F.col("tu"), F.col("tv")) >= threshold).select("id", "u", "v").distinct()
 
 
-def near_dedup(rows: DataFrame, threshold: float = 0.88, most_rounds: int = 200) -> DataFrame:
+def near_dedup(rows: DataFrame, threshold: float = 0.88, most_rounds: int | None = None) -> DataFrame:
     """Greedy removal of near-duplicates within each id, in the order of the candidate index (equal ones: of ``row_no``).
 
     A row goes if its normalised text equals a kept one's, or if its equations are the same and not
     empty and its tokens at least ``threshold`` similar to a kept one's.  Adds ``dedup_group``, the
     rank of the kept row.  The greedy choice is made in rounds over the links of similar rows: a
     row without an earlier undecided neighbour is kept and its later neighbours go, so rows of one
-    id needn't meet in one task.
+    id needn't meet in one task.  Rounds go on until no link is left; ``most_rounds`` raises beyond.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -121,13 +121,17 @@ def near_dedup(rows: DataFrame, threshold: float = 0.88, most_rounds: int = 200)
     forms = stage(forms.withColumn("equations", T.equations(F.col("norm"))).withColumn("tokens", T.tokens(F.col("norm"))), "dedup-forms")
     links = stage(_earlier_links(forms.where("equations != ''"), threshold), "dedup-links")
     gone = None
-    for _ in range(most_rounds):
-        if not links.limit(1).count():
-            break
+    done = 0
+    while links.limit(1).count():
+        if done == most_rounds:
+            raise RuntimeError(f"near-duplicates are left after {done} rounds")
+        done += 1
         behind = links.select("id", F.col("v").alias("u")).distinct()
         kept = links.select("id", "u").distinct().join(behind, ["id", "u"], "left_anti")
         dropped = stage(links.join(kept, ["id", "u"], "left_semi").select("id", F.col("v").alias("u")).distinct(), "dedup-gone")
         gone = dropped if gone is None else gone.unionByName(dropped)
+        if done % 16 == 0:
+            gone = stage(gone, "dedup-gone")
         left = links.join(kept, ["id", "u"], "left_anti").join(dropped, ["id", "u"], "left_anti")
         links = stage(left.join(dropped.withColumnRenamed("u", "v"), ["id", "v"], "left_anti").select("id", "u", "v"), "dedup-links")
     if gone is not None:

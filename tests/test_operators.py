@@ -101,6 +101,18 @@ def test_near_dedup_equals_the_plain_greedy_choice(spark):
     assert curation.near_dedup(df.limit(0)).count() == 0
 
 
+def test_near_dedup_raises_rather_than_keep_undecided_rows(spark):
+    words = [f"w{i}" for i in range(24)]
+    rows = []
+    for i in range(9):
+        words[2 * i] = f"v{i}"
+        rows.append(("hot", str(i), " ".join(words) + ". x = 1 + 2", i))
+    df = spark.createDataFrame(rows, "id string, candidate_index string, solution string, row_no long")
+    assert {r.row_no for r in curation.near_dedup(df).collect()} == {0, 2, 4, 6, 8}
+    with pytest.raises(RuntimeError):
+        curation.near_dedup(df, most_rounds=2)
+
+
 PROFILES = [
     # reconciled, unique, own (answer, method, finish), pass, fail, unsure, sympy fails -> reasons, label action
     (0, 0, None, 0, 0, 0, 0, "NO_RECONCILED_CANDIDATE|NO_UNIQUE_ANSWER_MATCHED_CANDIDATE", False),
