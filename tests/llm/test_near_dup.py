@@ -47,13 +47,34 @@ def test_pairs_equal_brute_force_in_leaves_and_large_trees(spark):
     texts += [texts[0].upper() + "!", texts[0]]
     df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").selectExpr("*", "1 as seq", "2 as key")
     expected = brute(texts, 0.6, 3, 30)
-    for leaf, subtree in ((32, 1024), (2, 8)):
-        got = near_dup.near_pairs(df, 0.6, 3, 30, leaf, subtree).collect()
+    for leaf, subtree, hot in ((32, 1024, 64), (2, 8, 64), (32, 8, 4)):
+        got = near_dup.near_pairs(df, 0.6, 3, 30, leaf, subtree, hot).collect()
         assert {(r.row_a, r.row_b) for r in got} == expected and len(got) == len(expected)
     assert {(r.row_a, r.row_b) for r in near_dup.near_pairs(df).collect()} == brute(texts, 0.8, 5, 0)
     assert near_dup.near_pairs(df.limit(0), 0.6, 3).collect() == []
 
 
+def test_links_come_from_trees_of_every_size(spark, monkeypatch):
+    """Links by path: of trees traversed where their texts meet, and of trees cut into subtrees."""
+    from fractions import Fraction
+
+    monkeypatch.setattr(near_dup, "UPPER_FAN", 2)
+    rng = random.Random(13)
+    texts = corpus(rng, 12, 4) + corpus(rng, 1, 90)
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    expected = brute(texts, 0.6, 3, 30)
+    hot = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    postings = near_dup._postings(df, 3, 30, Fraction(3, 5), hot).repartition("key", "salt").sortWithinPartitions("key", "salt", "size", *near_dup._BITS, "seq")
+    found = near_dup._trees(postings, 32, Fraction(3, 5)).collect()
+    small = {(r.a, r.b) for r in found if r.kind == 0}
+    members = {(r.a, r.b) for r in found if r.kind == 1}
+    # Bitmaps prune: few candidates of small trees are no links.
+    assert 12 * 3 <= len(small) <= 2 * len(expected) and len(members) > 33
+    assert all(r.size > 0 for r in found if r.kind == 1)
+    got = near_dup.near_pairs(df, 0.6, 3, 30, 32, 8).collect()
+    assert {(r.row_a, r.row_b) for r in got} == expected and len(got) == len(expected)
+
+
 def test_groups_are_the_connected_texts(spark):
     rng = random.Random(11)
     w = [f"w{i}" for i in range(40)]
@@ -104,8 +125,10 @@ def test_dual_traversal_loses_no_pair():
             b = hash((t, 7)) % 256
             bits[i, b // 64] |= np.uint64(1) << np.uint64(b % 64)
     sizes = np.array([len(s) for s in sets])
-    tree = near_dup.SignatureTree(bits, sizes)
-    a, b = near_dup.dual_traversal(tree, tree, Fraction(3, 5))
+    forest = near_dup.SignatureForest(bits, sizes, np.array([0]))
+    assert forest.height == 2 and len(forest.levels[2][0]) == 1
+    root = np.array([0])
+    a, b = near_dup.dual_traversal(forest, forest, root, root, Fraction(3, 5), most=50)
     assert (a != b).all()
     got = set(zip(a.tolist(), b.tolist())) | set(zip(b.tolist(), a.tolist())) | {(i, i) for i in range(len(sets))}
     for i, x in enumerate(sets):
