@@ -29,7 +29,7 @@ from mathloom.scratch import stage
 
 _U = np.uint64
 #: Texts of a tree that is traversed where its texts meet, and of a subtree of a larger one.
-LEAF, SUBTREE = 32, 1024
+LEAF, SUBTREE = 128, 1024
 #: Words of 64 bits of a signature.
 BITMAP = 2
 #: Children of a node.
@@ -37,9 +37,9 @@ FAN_OUT = 8
 #: Subtrees of a node of the upper levels of a large tree.
 UPPER_FAN = 64
 #: Texts whose keys are counted to plan the partitions; no result depends on them.
-PLAN_TEXTS = 65_536
+PLAN_TEXTS = 8_192
 #: A key is spread over several tasks if this many of the counted texts have it.
-HOT_TEXTS = 64
+HOT_TEXTS = 16
 #: Row numbers up to this many are broadcast (8 bytes each).
 BROADCAST_ROWS = 200_000
 _BITS = [f"s{i}" for i in range(BITMAP)]
@@ -121,7 +121,7 @@ def _members(texts: DataFrame, k: int, least_words: int, share: Fraction) -> Dat
 def _hot(counted: DataFrame, hot_texts: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of many texts, ascending, and how many parts each is spread over.
 
-    At most the number of counted keys divided by ``hot_texts`` of them: some 40,000.
+    At most the number of counted keys divided by ``hot_texts`` of them: some 40,000 at a limit of 0.6.
     """
     found = counted.groupBy("key").agg(F.count_distinct("seq").alias("n")).where(F.col("n") >= hot_texts).orderBy("key").collect()
     keys, n = np.array([r[0] for r in found], dtype=np.int64), np.array([r[1] for r in found], dtype=np.int64)
@@ -260,48 +260,54 @@ def _trees(postings: DataFrame, leaf: int, share: Fraction) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-        large: tuple[int, int] | None = None
+        large: int | None = None
+
+        def members(cols: list[np.ndarray], at: np.ndarray) -> pa.RecordBatch:
+            key, _, seq, *rest = cols
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), dtype=np.int32)), pa.array(key[at]), pa.array(seq[at]), *(pa.array(c[at]) for c in rest)], names)
 
         def work(cols: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, large
-            key, salt, seq = cols[:3]
+            held = None
+            key, salt = cols[:2]
             if not len(key):
                 return
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (seq[1:] != seq[:-1])))
-            key, salt, seq, *rest = cols = [c[new] for c in cols]
-            start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))))
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             end = np.append(start[1:], len(key))
             big = (end - start > leaf) | (salt[start] >= 0)
             if large is not None:
-                big |= (key[start] == large[0]) & (salt[start] == large[1])
-            held = None
+                big |= key[start] == large
             if not last:
                 if big[-1]:
                     # A large tree's members pass through; only its name is remembered.
-                    large = int(key[-1]), int(salt[-1])
+                    large = int(key[-1])
                 else:
                     large = None
                     held = [c[start[-1] :] for c in cols]
                     start, end, big = start[:-1], end[:-1], big[:-1]
             if big.any():
-                at = np.flatnonzero(np.repeat(big, end - start))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), dtype=np.int32)), pa.array(key[at]), pa.array(seq[at]), *(pa.array(c[at]) for c in rest)], names)
+                size = (end - start)[big]
+                yield members(cols, np.repeat(start[big] - (np.cumsum(size) - size), size) + np.arange(int(size.sum())))
             small = ~big & (end - start > 1)
-            if small.any():
-                sizes = (end - start)[small]
-                base = np.cumsum(sizes) - sizes
-                rows = np.repeat(start[small] - base, sizes) + np.arange(int(sizes.sum()))
-                bits = np.column_stack([c[rows] for c in rest[1:]]).view(_U)
-                forest = SignatureForest(bits, rest[0][rows].astype(np.int64), base)
-                root = np.arange(len(base))
-                i, j = dual_traversal(forest, forest, root, root, share)
-                if len(i):
-                    own = seq[rows]
-                    a, b = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
-                    order = np.lexsort((b, a))
-                    a, b = a[order], b[order]
-                    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-                    yield pairs(a[new], b[new])
+            if not small.any():
+                return
+            size = (end - start)[small]
+            rows = np.repeat(start[small] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            tree, (_, _, seq, weight, *bits) = np.repeat(np.arange(len(size)), size), [c[rows] for c in cols]
+            # Texts of like size and bitmap become neighbours, copies from several tasks one text.
+            order = np.lexsort((seq, *bits, weight, tree))
+            tree, seq, weight = tree[order], seq[order], weight[order]
+            first = np.concatenate(([True], (tree[1:] != tree[:-1]) | (seq[1:] != seq[:-1])))
+            tree, seq, order = tree[first], seq[first], order[first]
+            forest = SignatureForest(np.column_stack([b[order] for b in bits]).view(_U), weight[first].astype(np.int64), np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1]))))
+            root = np.arange(len(size))
+            i, j = dual_traversal(forest, forest, root, root, share)
+            if len(i):
+                a, b = np.minimum(seq[i], seq[j]), np.maximum(seq[i], seq[j])
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+                yield pairs(a[new], b[new])
 
         for batch in batches:
             cols = [c.to_numpy() for c in batch.columns]
@@ -464,7 +470,7 @@ def near_links(texts: DataFrame, least: float = 0.8, k: int = 5, least_words: in
     members = both.where("key is null").select("row", "seq")
     hot = _hot(both.where("key is not null"), hot_texts)
     postings = _postings(texts, k, least_words, share, hot).repartition("key", "salt")
-    found = stage(_trees(postings.sortWithinPartitions("key", "salt", "size", *_BITS, "seq"), leaf, share), "tree-pairs")
+    found = stage(_trees(postings.sortWithinPartitions("key"), leaf, share), "tree-pairs")
     pairs = found.where("kind = 0").select("a", "b")
     large = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("seq"), "size", *_BITS)
     firsts = members.groupBy("seq").agg(F.min("row").alias("row"))

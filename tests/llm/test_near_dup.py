@@ -47,7 +47,7 @@ def test_pairs_equal_brute_force_in_leaves_and_large_trees(spark):
     texts += [texts[0].upper() + "!", texts[0]]
     df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").selectExpr("*", "1 as seq", "2 as key")
     expected = brute(texts, 0.6, 3, 30)
-    for leaf, subtree, hot in ((32, 1024, 64), (2, 8, 64), (32, 8, 4)):
+    for leaf, subtree, hot in ((128, 1024, 64), (2, 8, 64), (32, 8, 4)):
         got = near_dup.near_pairs(df, 0.6, 3, 30, leaf, subtree, hot).collect()
         assert {(r.row_a, r.row_b) for r in got} == expected and len(got) == len(expected)
     assert {(r.row_a, r.row_b) for r in near_dup.near_pairs(df).collect()} == brute(texts, 0.8, 5, 0)
@@ -64,7 +64,7 @@ def test_links_come_from_trees_of_every_size(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
     expected = brute(texts, 0.6, 3, 30)
     hot = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-    postings = near_dup._postings(df, 3, 30, Fraction(3, 5), hot).repartition("key", "salt").sortWithinPartitions("key", "salt", "size", *near_dup._BITS, "seq")
+    postings = near_dup._postings(df, 3, 30, Fraction(3, 5), hot).repartition("key", "salt").sortWithinPartitions("key")
     found = near_dup._trees(postings, 32, Fraction(3, 5)).collect()
     small = {(r.a, r.b) for r in found if r.kind == 0}
     members = {(r.a, r.b) for r in found if r.kind == 1}
