@@ -107,6 +107,14 @@ def words(texts: Sequence[str | None]) -> Words:
     return Words(hashes, per_text)
 
 
+def take(w: Words, at: np.ndarray) -> Words:
+    """The words of the texts at the given places."""
+    counts = w.counts[at]
+    offsets = np.zeros(len(at) + 1, dtype=np.int64)
+    np.cumsum(counts, out=offsets[1:])
+    return Words(w.hashes[np.repeat(w.offsets[:-1][at] - offsets[:-1], counts) + np.arange(offsets[-1])], offsets)
+
+
 def ngrams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``k`` words, and their offsets per text."""
     counts = np.maximum(w.counts - (k - 1), 0)

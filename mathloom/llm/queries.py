@@ -84,7 +84,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.repetition(_read(spark, d, "documents")).where("repetitive").select("doc_id")
+    return repetition.repetitive(_read(spark, d, "documents")).select("doc_id")
 
 
 def p9_share(spark: SparkSession, d: str) -> DataFrame:

@@ -1,11 +1,10 @@
 """Repetition inside single documents (problem 9).
 
-Each text is reduced to a few rule statistics.  An isolation forest, grown on a bounded sample,
-scores every document by its mean path length: rare combinations are isolated after few splits.
-The path-length limit is calibrated on the sample's labelled rows and then widened to what the
-forest itself proves about any labelled row: over the region where the rule's share reaches its
-limit, each tree has a longest path, and the mean of those is a limit no such document exceeds.
-An exact check follows.
+Each text is reduced to a few cheap rule statistics.  An isolation forest, grown on a bounded
+sample, scores every document by its mean path length: rare combinations are isolated after few
+random splits.  The limit of the path length is calibrated on labelled rows, a bounded sample on
+which the exact rule has been computed.  Only documents the forest finds anomalous have their word
+runs counted; the rule on these counts is the second step.
 """
 
 from __future__ import annotations
@@ -20,34 +19,42 @@ from pyspark.sql import types as T
 
 from mathloom.llm import kernels
 
-STATISTICS = ("share5", "share2", "share1", "lines", "log_words")
-#: Rows the forest is grown on.  The bound doesn't depend on the corpus.
+STATISTICS = ("share1", "share2", "lines", "log_words")
+#: Rows that are labelled by the rule; the bound doesn't depend on the corpus.
+LABELLED_ROWS = 32_768
+#: Rows of these the forest is grown on.
 SAMPLE_ROWS = 4096
 TREES = 64
 PER_TREE = 256
 
 
-def statistics(texts: list[str | None], k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Number of words, of k-word runs and of distinct k-word runs, and the matrix of statistics."""
-    w = kernels.words(texts)
+def statistics(texts: list[str | None], w: kernels.Words) -> np.ndarray:
+    """One row per text: shares of repeated words, word pairs and lines, logarithm of the words."""
     n = w.counts
     shares = []
-    runs = distinct = None
-    for size in (k, 2, 1):
+    for size in (1, 2):
         _, offsets = kernels.distinct_ngrams(w, size)
-        d = np.diff(offsets)
         a = np.maximum(n - (size - 1), 0)
-        if size == k:
-            runs, distinct = a, d
-        shares.append(1.0 - d / np.maximum(a, 1))
-        shares[-1][a == 0] = 0.0
+        shares.append(np.where(a > 0, 1.0 - np.diff(offsets) / np.maximum(a, 1), 0.0))
     lines = np.zeros(len(texts))
     for i, t in enumerate(texts):
         if t and "\n" in t:
             own = [x for x in t.split("\n") if x.strip()]
             if own:
                 lines[i] = 1.0 - len(set(own)) / len(own)
-    return n, runs, distinct, np.column_stack([*shares, lines, np.log1p(n)])
+    return np.column_stack([*shares, lines, np.log1p(n)])
+
+
+def run_counts(w: kernels.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of k-word runs of each text, and of distinct ones."""
+    _, offsets = kernels.distinct_ngrams(w, k)
+    return np.maximum(w.counts - (k - 1), 0), np.diff(offsets)
+
+
+def rule(words: np.ndarray, runs: np.ndarray, distinct: np.ndarray, least_share: float, least_words: int) -> np.ndarray:
+    """Whether the share of repeated runs reaches its limit; whole numbers decide, so that a share
+    on the limit isn't lost to rounding."""
+    return (words >= least_words) & (runs > 0) & (runs - distinct >= np.ceil(least_share * runs - 1e-9))
 
 
 def _average_path(n: float) -> float:
@@ -101,69 +108,91 @@ class IsolationForest:
             total += path[at]
         return total / max(len(self.trees), 1)
 
-    def longest_where(self, column: int, least: float) -> float:
-        """Upper bound of the mean path length of any row whose ``column`` is at least ``least``."""
-        total = 0.0
-        for columns, value, child, path in self.trees:
-            longest, stack = 0.0, [0]
-            while stack:
-                me = stack.pop()
-                if columns[me] < 0:
-                    longest = max(longest, path[me])
-                elif columns[me] == column and value[me] <= least:
-                    stack.append(child[me][1])
-                else:
-                    stack += child[me].tolist()
-            total += longest
-        return total / max(len(self.trees), 1)
-
 
-def fit(df: DataFrame, text: str, key: str, least_share: float, least_words: int, sample_rows: int = SAMPLE_ROWS) -> tuple[IsolationForest, float]:
-    """Forest and path-length limit.
+def _labelled(df: DataFrame, least_share: float, least_words: int, k: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and labels of the ``rows`` rows (key, text) of smallest hashed key.
 
-    The sample is of the ``sample_rows`` rows of smallest hashed key: a fixed bound, the same for
-    every partitioning of the corpus.  Tasks send only rows below a hash that about twice as many
-    rows pass.  Labelled rows are those of the sample for which the rule holds.
+    A fixed bound, the same for every partitioning of the corpus.  Tasks look only at rows below a
+    hash that about twice as many rows pass, and send numbers, no texts.
     """
-    share = min(1.0, 2.0 * sample_rows / max(df.count(), 1))
-    pool = df.where(F.col(text).isNotNull()).withColumn("h_", F.xxhash64(F.col(key)))
-    pool = pool.where(F.col("h_") <= min(int(2**64 * share) - 2**63, 2**63 - 1))
-    sample = [r[0] for r in pool.orderBy("h_").limit(sample_rows).select(text).collect()]
-    n, runs, distinct, rows = statistics(sample)
-    forest = IsolationForest(rows)
-    if not len(rows):
-        return forest, 0.0
-    labelled = (n >= least_words) & (rows[:, 0] >= least_share)
-    paths = forest.path_lengths(rows)
-    calibrated = float(paths[labelled].max()) if labelled.any() else 0.0
-    return forest, max(calibrated, forest.longest_where(0, least_share)) + 1e-9
-
-
-def repetition(df: DataFrame, text: str = "text", key: str = "doc_id", least_share: float = 0.3, least_words: int = 20, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Per document: ``words``, ``repeated_share`` of its 5-word runs, ``path_length``, ``anomalous``
-    (the forest's verdict) and ``repetitive`` (anomalous, and confirmed by the exact rule).
+    share = min(1.0, 2.0 * rows / max(df.count(), 1))
+    pool = df.where(F.col("text").isNotNull()).select(F.xxhash64("key").alias("h"), "text")
+    pool = pool.where(F.col("h") <= min(int(2**64 * share) - 2**63, 2**63 - 1))
+    names = ["h", *STATISTICS, "label"]
 
-    A null, empty or short text has a share of 0 and is never repetitive.  One row per input row.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for lo, hi in kernels.chunks(texts):
+                w = kernels.words(texts[lo:hi])
+                found = statistics(texts[lo:hi], w)
+                labels = rule(w.counts, *run_counts(w, k), least_share, least_words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, found.T.copy()), pa.array(labels)], names)
+
+    sent = pool.mapInArrow(run, "h bigint, " + ", ".join(f"{n} double" for n in STATISTICS) + ", label boolean")
+    table = sent.orderBy(*names).limit(rows).toArrow()
+    columns = [table.column(n).to_numpy() for n in STATISTICS]
+    return np.column_stack(columns), table.column("label").to_numpy()
+
+
+def calibrate(forest: IsolationForest, rows: np.ndarray, labels: np.ndarray) -> float:
+    """Limit of the path length: all labelled rows are within it, and others a little beyond.
+
+    It lies as far above the longest path of a labelled row as the 99th percentile lies below.
+    With no labelled row nothing is known of their paths, and every document is within.
     """
+    if not labels.any():
+        return float("inf")
+    paths = forest.path_lengths(rows[labels])
+    return float(2 * paths.max() - np.quantile(paths, 0.99))
+
+
+def fit(df: DataFrame, least_share: float, least_words: int, k: int, sample_rows: int, labelled_rows: int) -> tuple[IsolationForest, float]:
+    """Forest and path-length limit of a table (key, text)."""
+    rows, labels = _labelled(df, least_share, least_words, k, labelled_rows)
+    forest = IsolationForest(rows[:sample_rows])
+    return forest, calibrate(forest, rows, labels)
+
+
+_PARTS = [("words", T.LongType()), ("repeated_share", T.DoubleType()), ("path_length", T.DoubleType()), ("anomalous", T.BooleanType()), ("repetitive", T.BooleanType())]
+
+
+def _scored(df: DataFrame, text: str, key: str, least_share: float, least_words: int, sample_rows: int, labelled_rows: int, every: bool, k: int = 5) -> DataFrame:
+    """The columns of ``repetition``; unless ``every``, only of the anomalous documents."""
     rows = df.select(df[key].alias("key"), df[text].alias("text"))
-    forest, limit = fit(rows, "text", "key", least_share, least_words, sample_rows)
-    sent = df.sparkSession.sparkContext.broadcast((forest, limit))
+    sent = df.sparkSession.sparkContext.broadcast(fit(rows, least_share, least_words, k, sample_rows, labelled_rows))
     kind = rows.schema["key"].dataType.simpleString()
-    parts = [("words", T.LongType()), ("repeated_share", T.DoubleType()), ("path_length", T.DoubleType()), ("anomalous", T.BooleanType()), ("repetitive", T.BooleanType())]
-    schema = f"key {kind}, " + ", ".join(f"{n} {t.simpleString()}" for n, t in parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, longest = sent.value
+        forest, longest = sent.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in kernels.chunks(texts):
-                n, runs, distinct, rows = statistics(texts[lo:hi])
-                paths = trees.path_lengths(rows) if trees.trees else np.full(len(n), -1.0)
+                w = kernels.words(texts[lo:hi])
+                paths = forest.path_lengths(statistics(texts[lo:hi], w))
                 odd = paths <= longest
-                # Whole numbers decide, so that a share on the limit isn't lost to rounding.
-                exact = (n >= least_words) & (runs > 0) & ((runs - distinct) >= np.ceil(least_share * runs - 1e-9))
-                arrays = [n.astype(np.int64), rows[:, 0], paths, odd, odd & exact]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, arrays)], ["key", *(p for p, _ in parts)])
+                at = np.arange(hi - lo) if every else np.flatnonzero(odd)
+                if not every:
+                    w = kernels.take(w, at)
+                runs, distinct = run_counts(w, k)
+                share = np.where(runs > 0, 1.0 - distinct / np.maximum(runs, 1), 0.0)
+                found = odd[at] & rule(w.counts, runs, distinct, least_share, least_words)
+                arrays = [w.counts.astype(np.int64), share, paths[at], odd[at], found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + lo)), *map(pa.array, arrays)], ["key", *(p for p, _ in _PARTS)])
+
+    out = rows.mapInArrow(run, f"key {kind}, " + ", ".join(f"{n} {t.simpleString()}" for n, t in _PARTS))
+    return out.select(out["key"].alias(key), *(p for p, _ in _PARTS))
+
+
+def repetition(df: DataFrame, text: str = "text", key: str = "doc_id", least_share: float = 0.3, least_words: int = 20, sample_rows: int = SAMPLE_ROWS, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
+    """Per document: ``words``, ``repeated_share`` of its 5-word runs, ``path_length``, ``anomalous``
+    (the forest's verdict) and ``repetitive`` (anomalous, and confirmed by the exact rule).
+
+    A null, empty or short text has a share of 0 and is never repetitive.  One row per input row.
+    """
+    return _scored(df, text, key, least_share, least_words, sample_rows, labelled_rows, True)
+
 
-    out = rows.mapInArrow(run, schema)
-    return out.select(out["key"].alias(key), *(p for p, _ in parts))
+def repetitive(df: DataFrame, text: str = "text", key: str = "doc_id", least_share: float = 0.3, least_words: int = 20, sample_rows: int = SAMPLE_ROWS, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
+    """The rows of ``repetition`` that are repetitive; runs are counted of anomalous documents only."""
+    return _scored(df, text, key, least_share, least_words, sample_rows, labelled_rows, False).where("repetitive")

@@ -30,10 +30,26 @@ def test_equals_the_rule_and_keeps_every_row(spark):
     assert repetition.repetition(df.limit(0)).collect() == []
 
 
-def test_no_row_of_the_region_exceeds_the_proven_limit():
+def test_forest_calibrated_on_some_rows_finds_the_others(spark):
     rng = np.random.default_rng(2)
-    rows = rng.random((2000, 5)) ** 3
-    forest = repetition.IsolationForest(rows)
-    limit = forest.longest_where(0, 0.3)
-    inside = rows[rows[:, 0] >= 0.3]
-    assert len(inside) and forest.path_lengths(inside).max() <= limit + 1e-12
+    texts = []
+    for i in range(4000):
+        w = [f"w{x}" for x in rng.integers(0, 3000, rng.integers(20, 120))]
+        if i % 10 == 0:
+            w += w[: len(w) // 2] * int(rng.integers(2, 6))
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = repetition.repetition(df, sample_rows=500, labelled_rows=1000).collect()
+    true = {r.doc_id for r in whole if r.words >= 20 and r.repeated_share >= 0.3}
+    found = {r.doc_id for r in whole if r.repetitive}
+    assert len(true) >= 300 and found <= true and len(found) >= 0.97 * len(true)
+    # The forest saves the counting of runs: few others are anomalous.
+    assert sum(r.anomalous for r in whole) <= 0.3 * len(texts)
+    alone = {r.doc_id for r in repetition.repetitive(df, sample_rows=500, labelled_rows=1000).collect()}
+    assert alone == found
+
+
+def test_without_labelled_rows_every_document_is_measured(spark):
+    df = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i} e{i} " * 4) for i in range(30)], "doc_id long, text string")
+    assert repetition.repetitive(df, least_share=0.99).collect() == []
+    assert repetition.repetitive(df).count() == 30
