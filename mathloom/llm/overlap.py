@@ -1,14 +1,16 @@
 """Records that occur in two splits, exactly or almost (problem 6).
 
-Each question's distinct 3-word sequences give a similarity fingerprint: a code of blocks, every
-block the joined minima of a few hash functions, so that a block of two texts agrees with a
-probability that depends on their similarity alone.  Splits are joined on the blocks, every pair
-whose codes agree in at least one block is verified on the texts.  Equal questions and equal ids
-are joined exactly.
+Each question gets a similarity hash of bits: the lower 16 bits of the minima of 120 hash functions
+over its distinct 3-word sequences, so that two fingerprints differ in about half the bits of the
+minima that differ, and these are the more the less similar the questions are.  The code is cut
+into segments of three minima.  Splits are joined on the segments; pairs within a Hamming radius,
+which no pair at the limit of similarity exceeds but by chance of one in a million, are verified on
+the texts.  Equal questions and equal ids are joined exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,58 +18,131 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mathloom.llm import kernels
+from mathloom.llm import bloom, kernels
 from mathloom.scratch import stage
 
 _U = np.uint64
-#: A block joins three minima.  With 64 blocks a pair of similarity 0.6 is missed once in six
-#: million, one of 0.5 once in five thousand.
-BLOCKS, PER_BLOCK = 64, 3
+#: Segments of a code, and minima of a segment.  A pair of similarity 0.6 agrees in no segment once
+#: in 17,000, one of 0.7 once in ten million.
+SEGMENTS, PER_SEGMENT = 40, 3
+MINIMUM_BITS = 16
+#: Rows of one segment's value that one task joins.
+HOT_ROWS = 4096
 
 
-def fingerprints(texts: list[str | None], k: int = 3, blocks: int = BLOCKS, per_block: int = PER_BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """(number of words, codes) of the texts; a text of fewer than k words has a code of zeros."""
-    w = kernels.words(texts)
+def radius(least: float, minima: int = SEGMENTS * PER_SEGMENT, bits: int = MINIMUM_BITS) -> int:
+    """Hamming distance that a pair of similarity ``least`` exceeds with a probability below a millionth.
+
+    A minimum differs with probability 1 - least, and then in half its bits on average.
+    """
+    apart = 1 - least
+    mean = apart * bits / 2
+    variance = apart * (bits * bits + bits) / 4 - mean * mean
+    return math.ceil(minima * mean + 5 * math.sqrt(minima * variance))
+
+
+def fingerprints(w: kernels.Words, k: int = 3) -> np.ndarray:
+    """A row of 16-bit minima per text; of zeros for a text of fewer than k words."""
     grams, offsets = kernels.distinct_ngrams(w, k)
-    n = len(texts)
-    codes = np.zeros((n, blocks), dtype=_U)
+    codes = np.zeros((len(w.counts), SEGMENTS * PER_SEGMENT), dtype=np.uint16)
     some = np.flatnonzero(np.diff(offsets))
     if len(some):
-        rng = np.random.default_rng(20)
-        for b in range(blocks):
-            code = np.full(len(some), b, dtype=_U)
-            for seed in rng.integers(1, 2**62, per_block):
-                minima = np.minimum.reduceat(kernels.mix64(grams ^ _U(seed)), offsets[:-1][some])
-                code = kernels.mix64(code * _U(0x9E3779B97F4A7C15) + minima)
-            codes[some, b] = code
-    return w.counts, codes
+        factors = np.random.default_rng(20).integers(1, 2**62, codes.shape[1]).astype(_U) * _U(2) + _U(1)
+        product = np.empty_like(grams)
+        for i, f in enumerate(factors):
+            np.multiply(grams, f, out=product)
+            codes[some, i] = kernels.mix64(np.minimum.reduceat(product, offsets[:-1][some])).astype(np.uint16)
+    return codes
+
+
+def segments(codes: np.ndarray) -> np.ndarray:
+    """Hashes of each code's segments with their numbers: one row per code, one column per segment."""
+    parts = codes.reshape(len(codes), SEGMENTS, PER_SEGMENT).astype(_U)
+    value = np.zeros((len(codes), SEGMENTS), dtype=_U)
+    for i in range(PER_SEGMENT):
+        value = (value << _U(MINIMUM_BITS)) | parts[:, :, i]
+    return kernels.mix64(value * _U(64) + np.arange(SEGMENTS, dtype=_U))
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the codes of each row differ."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    joined = b"".join(column.to_pylist())
+    return np.frombuffer(joined, dtype=np.uint16).reshape(-1, SEGMENTS * PER_SEGMENT)
 
 
 def _side(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(row, sequence) of a split's rows, and (block, sequence) of its distinct questions."""
+    """(row, seq) of a split's rows with words, and (seq, first, code) of its distinct questions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in kernels.chunks(texts):
                 w = kernels.words(texts[lo:hi])
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kernels.sequence_hash(w).view(np.int64), pa.int64()), part.column(1)], ["row", "seq", "text"])
+                seq = kernels.sequence_hash(w).view(np.int64)
+                some = np.flatnonzero(w.counts)
+                fresh = []
+                for i, x in zip(some.tolist(), seq[some].tolist()):
+                    if x not in seen:
+                        # Copies of a question share one code, however many they are.
+                        seen.add(x)
+                        fresh.append(i)
+                code: list[bytes | None] = [None] * (hi - lo)
+                for i, row in zip(fresh, fingerprints(kernels.take(w, np.array(fresh, dtype=np.int64)), k)):
+                    code[i] = row.tobytes() if w.counts[i] >= k else b""
+                at = pa.array(some)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(at), pa.array(seq[some]), pa.array(code, pa.binary()).take(at)], ["row", "seq", "code"])
+
+    rows = stage(df.where(F.col("text").isNotNull()).mapInArrow(run, "row bigint, seq bigint, code binary"), "split-rows")
+    unique = rows.where("code is not null").groupBy("seq").agg(F.min("row").alias("first"), F.min_by("code", "row").alias("code"))
+    return rows.select("row", "seq"), stage(unique, "split-questions")
+
+
+def _blocks(unique: DataFrame, among: np.ndarray | None = None) -> DataFrame:
+    """(segment, seq) of the distinct questions; with a filter only of segments that may be in it."""
+    sent = None if among is None else unique.sparkSession.sparkContext.broadcast(among)
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in kernels.chunks(texts):
-                words, codes = fingerprints(texts[lo:hi], k)
-                good = np.flatnonzero(words >= k)
-                if len(good):
-                    seq = batch.column(0).to_numpy(zero_copy_only=False)[lo:hi][good]
-                    yield pa.RecordBatch.from_arrays([pa.array(codes[good].ravel().view(np.int64)), pa.array(np.repeat(seq, codes.shape[1]))], ["block", "seq"])
+            value = segments(_codes(batch.column(1)))
+            use = np.ones(value.shape, dtype=bool) if sent is None else bloom.contains(sent.value, value.ravel()).reshape(value.shape)
+            owner, _ = np.nonzero(use)
+            yield pa.RecordBatch.from_arrays([pa.array(value[use].view(np.int64)), batch.column(0).take(pa.array(owner))], ["segment", "seq"])
+
+    return unique.where("length(code) > 0").select("seq", "code").mapInArrow(run, "segment bigint, seq bigint")
+
+
+def _candidates(left: DataFrame, right: DataFrame, hot_rows: int) -> DataFrame:
+    """Pairs (a, b) of questions that agree in a segment.
+
+    The left split's segments go into a filter of fixed size, so that of the right one only those
+    are moved that can meet.  The right rows of a frequent segment are spread over parts of about
+    ``hot_rows``, its left rows go to each part.
+    """
+    a = stage(_blocks(left), "split-segments")
+    b = stage(_blocks(right, bloom.build(a, "segment")), "split-segments")
+    parts = b.groupBy("segment").agg(F.ceil(F.count("*") / hot_rows).cast("int").alias("parts")).where("parts > 1")
+    parts = stage(parts, "split-hot")
+    if parts.limit(1).count():
+        a = a.join(parts, "segment", "left").select("segment", "seq", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        b = b.join(parts, "segment", "left").select("segment", "seq", F.pmod(F.xxhash64("seq"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    on = [c for c in a.columns if c != "seq"]
+    return a.withColumnRenamed("seq", "a").join(b.withColumnRenamed("seq", "b"), on).where("a != b").select("a", "b").distinct()
+
+
+def _within(pairs: DataFrame, most: int) -> DataFrame:
+    """Rows (a, b, first_a, first_b) of the pairs with codes whose Hamming distance is at most ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = pa.array(np.flatnonzero(hamming(_codes(batch.column(4)), _codes(batch.column(5))) <= most))
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(4)], ["a", "b", "first_a", "first_b"])
 
-    rows = stage(df.where(F.col("text").isNotNull()).mapInArrow(run, "row bigint, seq bigint, text string"), "split-rows").where("seq != 0")
-    # Copies of a question share one fingerprint, however many they are.
-    unique = stage(rows.groupBy("seq").agg(F.min_by("text", "row").alias("text")), "split-questions")
-    return rows.select("row", "seq"), unique, stage(unique.mapInArrow(blocks, "block bigint, seq bigint").distinct(), "split-blocks")
+    return pairs.mapInArrow(run, "a bigint, b bigint, first_a bigint, first_b bigint")
 
 
 def _verify(pairs: DataFrame, least: float, k: int) -> DataFrame:
@@ -83,19 +158,23 @@ def _verify(pairs: DataFrame, least: float, k: int) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def split_overlaps(left: DataFrame, right: DataFrame, row: str = "row_no", text: str = "question", key: Column | None = None, least: float = 0.6, k: int = 3) -> DataFrame:
+def split_overlaps(left: DataFrame, right: DataFrame, row: str = "row_no", text: str = "question", key: Column | None = None, least: float = 0.6, k: int = 3, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pairs of rows of two splits with equal keys, equal word sequences or similar texts.
 
     Columns: ``left_row``, ``right_row``, ``similarity`` (of the distinct k-word sequences; 1 for
     the same words; null for a pair of equal keys only).  Null or wordless texts and null or empty
     keys match nothing; repeated rows are each reported.  Questions of fewer than k words match
-    only the same words.
+    only the same words.  ``least`` is a similarity of 0.6 or more; below, more pairs are missed.
     """
-    sides = [_side(x.select(x[row].alias("row"), x[text].alias("text")), k) for x in (left, right)]
-    (rows_a, unique_a, blocks_a), (rows_b, unique_b, blocks_b) = sides
-    pairs = blocks_a.withColumnRenamed("seq", "a").join(blocks_b.withColumnRenamed("seq", "b"), "block").where("a != b").select("a", "b").distinct()
-    texts = pairs.join(unique_a.select(F.col("seq").alias("a"), F.col("text").alias("ta")), "a").join(unique_b.select(F.col("seq").alias("b"), F.col("text").alias("tb")), "b")
-    near = _verify(texts.select("a", "b", "ta", "tb"), least, k)
+    texts = [x.select(x[row].alias("row"), x[text].alias("text")) for x in (left, right)]
+    (rows_a, unique_a), (rows_b, unique_b) = (_side(x, k) for x in texts)
+    pairs = _candidates(unique_a, unique_b, hot_rows)
+    for n, u in (("a", unique_a), ("b", unique_b)):
+        pairs = pairs.join(u.select(F.col("seq").alias(n), F.col("first").alias(f"first_{n}"), F.col("code").alias(f"code_{n}")), n)
+    close = stage(_within(pairs.select("a", "b", "first_a", "first_b", "code_a", "code_b"), radius(least)), "split-pairs")
+    for n, t in zip("ab", texts):
+        close = close.join(t.select(F.col("row").alias(f"first_{n}"), F.col("text").alias(f"t{n}")), f"first_{n}")
+    near = _verify(close.select("a", "b", "ta", "tb"), least, k)
     same = unique_a.select(F.col("seq").alias("a")).join(unique_b.select(F.col("seq").alias("b")), F.col("a") == F.col("b")).withColumn("similarity", F.lit(1.0))
     alike = near.unionByName(same)
     by_text = alike.join(rows_a.select(F.col("row").alias("left_row"), F.col("seq").alias("a")), "a").join(rows_b.select(F.col("row").alias("right_row"), F.col("seq").alias("b")), "b").select("left_row", "right_row", "similarity")

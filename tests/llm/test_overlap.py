@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from mathloom.llm import overlap
+from mathloom.llm import bloom, kernels, overlap
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -45,3 +46,36 @@ def test_pairs_equal_brute_force(spark):
     table = overlap.report(found, a, b.withColumnRenamed("part", "source"), "part", "source").collect()
     assert sum(r.pairs for r in table) == len(expected)
     assert overlap.split_overlaps(a.limit(0), b, key=key).collect() == []
+    # Frequent segments are spread: the same pairs.
+    spread = overlap.split_overlaps(a, b, key=key, hot_rows=1)
+    assert {(r.left_row, r.right_row) for r in spread.collect()} == expected
+
+
+def test_codes_of_similar_texts_are_within_the_radius():
+    rng = random.Random(3)
+    texts, other, share = [], [], []
+    for _ in range(300):
+        w = [f"w{rng.randrange(5000)}" for _ in range(80)]
+        v = w[:]
+        for _ in range(rng.randrange(9)):
+            v[rng.randrange(len(v))] = f"e{rng.randrange(900)}"
+        texts.append(" ".join(w))
+        other.append(" ".join(v))
+        p, q = grams(texts[-1]), grams(other[-1])
+        share.append(len(p & q) / len(p | q))
+    a, b = (overlap.fingerprints(kernels.words(t)) for t in (texts, other))
+    far = overlap.hamming(a, b)
+    near = np.array(share) >= 0.6
+    assert near.sum() > 50 and (far[near] <= overlap.radius(0.6)).all()
+    meet = (overlap.segments(a) == overlap.segments(b)).any(axis=1)
+    assert meet[near].all()
+    assert (overlap.hamming(a[1:], b[:-1]) > overlap.radius(0.6)).all()
+
+
+def test_filter_keeps_what_was_put_in(spark):
+    rng = np.random.default_rng(4)
+    inside, outside = (kernels.mix64(rng.integers(0, 2**62, 3000).astype(np.uint64)) for _ in range(2))
+    df = spark.createDataFrame([(int(x),) for x in inside.view(np.int64)], "h long")
+    words = bloom.build(df, "h")
+    assert bloom.contains(words, inside).all() and bloom.contains(words, outside).mean() < 0.01
+    assert not bloom.contains(bloom.build(df.limit(0), "h"), inside).any()
