@@ -1,7 +1,7 @@
 import random
 import re
 
-from mathloom.llm import leak
+from mathloom.llm import kernels, leak
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -53,9 +53,36 @@ def test_blocks_and_unusual_rows(spark):
     for block in (10, 200_000):
         got = leak.leaked_spans(d, b, 12, block_words=block).collect()
         assert sorted((r.doc_id, r.item_id, r.words) for r in got) == sorted(expected)
+    # Many blocks, several parts of a block, anchors joined in parts: the same spans.
+    for block, texts, sent in ((40, 2, 10), (200_000, 1, 0)):
+        got = leak._found(d, b, 12, "doc_id", "text", "item_id", "text", block, False, texts, sent).collect()
+        assert sorted((r.doc_id, r.item_id, r.words) for r in got) == sorted(expected)
     assert leak.leaked_spans(d.limit(0), b).collect() == [] and leak.leaked_spans(d, b.limit(0)).collect() == []
 
 
+def test_every_shared_window_has_a_shared_anchor():
+    rng = random.Random(8)
+    for least in (1, 2, 5, 12):
+        a = [f"w{rng.randrange(6)}" for _ in range(200)]
+        b = [f"w{rng.randrange(6)}" for _ in range(60)] + a[70 : 70 + least] + [f"v{rng.randrange(6)}" for _ in range(60)]
+        found, offsets = leak.anchors(kernels.words([" ".join(a), "", " ".join(b)]), least)
+        assert offsets[1] == offsets[2] and set(found[: offsets[1]].tolist()) & set(found[offsets[2] :].tolist())
+
+
+def test_corpus_is_read_once_for_any_number_of_items(spark, tmp_path):
+    rng = random.Random(9)
+    passages = [" ".join(f"w{rng.randrange(90_000)}" for _ in range(30)) for _ in range(10_000)]
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    texts = [(i, f"head {passages[(7 * i) % 10_000]} tail") for i in range(300)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    got = leak.leaked_spans(docs, items)
+    plan = got._jdf.queryExecution().toString()
+    # The corpus itself isn't in the plan any more: its one pass wrote the texts with anchors.
+    assert f"{tmp_path}/docs" not in plan
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == sorted((i, (7 * i) % 10_000) for i in range(300))
+
+
 def test_spans_are_removed():
     text = "one two, three four five six seven"
     assert leak.without_spans(text, [(1, 2)]) == "one  four five six seven"
