@@ -1,6 +1,6 @@
 """Records that occur in two splits, exactly or almost (problem 6).
 
-Each question gets a similarity hash of bits: the lower 16 bits of the minima of 120 hash functions
+Each question gets a similarity hash of bits: the lower 8 bits of the minima of 120 hash functions
 over its distinct 3-word sequences, so that two fingerprints differ in about half the bits of the
 minima that differ, and these are the more the less similar the questions are.  The code is cut
 into segments of three minima.  Splits are joined on the segments; pairs within a Hamming radius,
@@ -23,9 +23,9 @@ from mathloom.scratch import stage
 
 _U = np.uint64
 #: Segments of a code, and minima of a segment.  A pair of similarity 0.6 agrees in no segment once
-#: in 17,000, one of 0.7 once in ten million.
+#: in 17,000, one of 0.7 once in ten million; unrelated questions agree in one once in 400,000 pairs.
 SEGMENTS, PER_SEGMENT = 40, 3
-MINIMUM_BITS = 16
+MINIMUM_BITS = 8
 #: Rows of one segment's value that one task joins.
 HOT_ROWS = 4096
 
@@ -42,16 +42,16 @@ def radius(least: float, minima: int = SEGMENTS * PER_SEGMENT, bits: int = MINIM
 
 
 def fingerprints(w: kernels.Words, k: int = 3) -> np.ndarray:
-    """A row of 16-bit minima per text; of zeros for a text of fewer than k words."""
+    """A row of 8-bit minima per text; of zeros for a text of fewer than k words."""
     grams, offsets = kernels.distinct_ngrams(w, k)
-    codes = np.zeros((len(w.counts), SEGMENTS * PER_SEGMENT), dtype=np.uint16)
+    codes = np.zeros((len(w.counts), SEGMENTS * PER_SEGMENT), dtype=np.uint8)
     some = np.flatnonzero(np.diff(offsets))
     if len(some):
         factors = np.random.default_rng(20).integers(1, 2**62, codes.shape[1]).astype(_U) * _U(2) + _U(1)
         product = np.empty_like(grams)
         for i, f in enumerate(factors):
             np.multiply(grams, f, out=product)
-            codes[some, i] = kernels.mix64(np.minimum.reduceat(product, offsets[:-1][some])).astype(np.uint16)
+            codes[some, i] = kernels.mix64(np.minimum.reduceat(product, offsets[:-1][some])).astype(np.uint8)
     return codes
 
 
@@ -71,7 +71,7 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _codes(column: pa.Array) -> np.ndarray:
     joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, dtype=np.uint16).reshape(-1, SEGMENTS * PER_SEGMENT)
+    return np.frombuffer(joined, dtype=np.uint8).reshape(-1, SEGMENTS * PER_SEGMENT)
 
 
 def _side(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
