@@ -2,13 +2,17 @@
 
 Responses are sorted by their text.  A shortened version of another response is a prefix of the
 next different text in that order, so each response is compared with one neighbour only.  A spike
-in the number of different responses of exactly one length shows a length limit.  A rule on the
-phrases at the end stands beside both, with the recorded finish status and parser method as
-evidence.  Rules find the other defects: no content, refusal, the question copied, another language.
+in the number of different responses of exactly one length shows a length limit.
+
+Where a response states no labelled answer, its sentences are compared with those that begin alike:
+an opening that mostly stands last in such responses closes a text (no phrase is listed, the corpus
+tells), and a text whose last sentence has an opening that elsewhere goes on was cut.  Rules find
+the other defects: no content, refusal, the question copied, another language.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -16,15 +20,25 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mathloom.scratch import stage
 
 EMPTY, REFUSAL, COPIED, LANGUAGE, TRUNCATED = "empty", "refusal", "copied_question", "other_language", "truncated"
 #: The text is complete; open at its end, so that a neighbour or a spike may show it cut; the same,
-#: but it ends in its answer, so that it doesn't count towards a spike.
-COMPLETE, OPEN, ENDED = "complete", "open", "ended"
+#: but it ends in its answer, so that it doesn't count towards a spike; no answer is labelled, so
+#: that its sentences decide.
+COMPLETE, OPEN, ENDED, UNSTATED = "complete", "open", "ended", "unstated"
+#: What the next text shows: a cut within a sentence; the text goes on to another value; it goes on.
+CUT, OTHER_VALUE, GOES_ON = 1, 2, 3
+#: An opening closes texts if it stands last in this share of its uses, and in so many different
+#: texts: at least two, and one in ``CLOSING_TEXTS``, so that there are never more closing openings.
+CLOSING_SHARE, CLOSING_TEXTS = 0.5, 10_000
+#: Openings of fewer uses tell nothing; their first word does.
+KNOWN_USES = 3
+#: Words at the end of a text that may be openings.
+NEAR_END = 12
 
 WORD = re.compile(r"[^\W_]+")
 _ASCII_WORDS = bytes(i if chr(i).isalnum() and i < 128 else 32 for i in range(256))
@@ -57,11 +71,9 @@ _VALUE = re.compile(r"answer\W{0,12}\d")
 _BOX = re.compile(r"boxed\s*\{\s*\W{0,3}\d[^{}]*\}")
 BARE_FINAL = re.compile(r"(?:\*\*\s*)?(?:\b(?:the\s+)?final\s+answer\b|\bresult\b|\banswer\b|\\boxed)[^\n]{0,40}\s*$", re.IGNORECASE)
 _LEAD = re.compile(r"^\s*(?:[*#•\-]\s*)*(?:problem|question|task|exercise|aufgabe|frage|problème|problema|pregunta|문제|질문)\s*[:.]\s*", re.IGNORECASE)
-CLOSERS = frozenset("therefore requested completes conclude concludes ends termina pedido entonces así damit gesuchte lautet ende ainsi cherché 그러므로 구하는 답은".split())
-_SENTENCE = re.compile(r"(?<=[.!?。])\s+|\n")
-_HENCE = re.compile(
-    r"\W*(?:hence|thus|so|consequently|accordingly|altogether|in total|also|folglich|somit|daher|insgesamt|donc|finalement|au total|luego|finalmente|en total|por (?:lo )?tanto)\b|\W*(?:따라서|결국)"
-)
+_SENTENCE = re.compile(r"(?<=[.!?。])\s+|\s;\s+|\n")
+_FIELD = re.compile(r"^\W*[^\W\d_][^:\n.!?]{0,30}\"?\s*:\s*\"?")
+_DIGITS = re.compile(r"\d[\d.,/]*")
 _SAID_VALUE = re.compile(r"(?:answer\W{0,12}|boxed\s*\{\s*\W{0,3})(\d[\d.,]*)")
 _NUMBER = re.compile(r"\d[\d.,]*")
 _CLOSING_MARKS = "”\"')}]*$ "
@@ -119,43 +131,20 @@ def _stated(lowered: str) -> bool:
     return False
 
 
-def _closed(lowered: str, words: list[str]) -> bool:
-    """Whether an answer is stated: a label or box with a value, or a concluding sentence."""
-    if _stated(lowered):
-        return True
-    if CLOSERS.isdisjoint(words):
-        return False
-    for s in reversed(_SENTENCE.split(lowered)):
-        if not s.rstrip().endswith("?") and _concluding(s):
-            return True
-    return False
-
-
-def _concluding(sentence: str) -> bool:
-    """Whether a lower-cased sentence is a conclusion with a number."""
-    return not CLOSERS.isdisjoint(words_of(sentence)) and any(map(str.isdigit, sentence))
-
-
-def _ended(lowered: str) -> bool:
-    """Whether the stripped, lower-cased text ends in its answer: a labelled value or a conclusion."""
-    line = lowered[lowered.rfind("\n") + 1 :]
-    return bool(_LAST_VALUE.search(line)) or _concluding(_SENTENCE.split(line)[-1])
+def opening(sentence: str) -> tuple[str, str]:
+    """The first two words, and the first, of a lower-cased sentence without its label, numbers as 0."""
+    words = words_of(_DIGITS.sub("0", _FIELD.sub("", sentence)[:60]))
+    return " ".join(words[:2]), words[0] if words else ""
 
 
-def _last_sentence(lowered: str) -> str:
-    return next((s for s in reversed(_SENTENCE.split(lowered)) if s.strip()), "")
+def sentences(lowered: str) -> list[str]:
+    """Sentences with a letter or digit."""
+    return [x for x in _SENTENCE.split(lowered) if any(map(str.isalnum, x))]
 
 
-def _concluded(lowered: str, finish: str | None, method: str | None) -> bool:
-    """Whether a text without a closing phrase ends with a conclusion, by what was recorded of it.
-
-    It ends in a full stop, no token limit was met, and the parser found a marked answer or the last
-    sentence begins like a conclusion and has a number.
-    """
-    if lowered.rstrip(_CLOSING_MARKS)[-1:] not in (".", "!", "。") or finish == "max_tokens":
-        return False
-    last = _last_sentence(lowered)
-    return method in ("final_answer", "boxed") or bool(_HENCE.match(last)) and any(map(str.isdigit, last))
+def code(text: str) -> int:
+    """64 bits for an opening."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 class Question:
@@ -245,8 +234,9 @@ class Judge:
             return TRUNCATED
         if bare[0] == "{" and '"' in bare[:20] and bare[-1] != "}" and not re.search(r"}\W*$", bare[-40:]):
             return TRUNCATED
-        if not _closed(lowered, words) and not _concluded(lowered, finish, method):
-            return TRUNCATED
+        if not _stated(lowered):
+            # The parser's answer counts where the text ends in a full stop and met no limit.
+            return COMPLETE if _ends(bare) and finish != "max_tokens" and method in ("final_answer", "boxed") else UNSTATED
         if bare[-1] not in _TERMINAL:
             lines = [x.rstrip() for x in bare.splitlines() if x.strip()]
             last = lines[-1]
@@ -255,79 +245,138 @@ class Judge:
                 others = [x for x in lines[:-1] if len(x) > 40]
                 if others and all(x[-1] in _TERMINAL for x in others):
                     return TRUNCATED
-            if not _ended(lowered):
+            if not _LAST_VALUE.search(lowered[lowered.rfind("\n") + 1 :]):
                 return OPEN
             return COMPLETE if finish == "eos" else ENDED
         return COMPLETE
 
 
-def shortened(text: str, longer: str) -> bool:
-    """Whether ``longer`` shows that ``text`` was cut: it goes on within a word or sentence."""
+def _ends(bare: str) -> bool:
+    """Whether a stripped text ends in a full stop, perhaps within closing marks."""
+    return bare.rstrip(_CLOSING_MARKS)[-1:] in (".", "!", "。")
+
+
+def shortened(text: str, longer: str) -> int:
+    """How ``longer`` shows that ``text`` was cut: CUT, OTHER_VALUE, GOES_ON or 0."""
     bare = text.rstrip()
     if len(longer) <= len(bare) or not longer.startswith(bare):
-        return False
+        return 0
     rest = longer[len(bare) :]
     if bare[-1:].isalnum() and (rest[0].isalnum() or rest[0] in ",." and rest[1:2].isdigit()):
-        return True
+        return CUT
     if rest[0] not in "\r\n" and bare[-1:] not in _TERMINAL and bare[-1:] not in ".!?。" and not _stated(bare.splitlines()[-1].lower()) and any(map(str.isalnum, rest)):
-        return True
+        return CUT
     lowered = bare.lower()
     if _stated(lowered):
-        return False
-    last = _last_sentence(lowered)
-    if _concluding(last):
-        # Cut after a conclusion that wasn't the last one: the longer text states another value.
-        said = _SAID_VALUE.search(rest.lower())
-        plain = lambda x: x.replace(",", "").rstrip(".")
-        return bool(said) and plain(said[1]) not in map(plain, _NUMBER.findall(last))
-    return any(map(str.isalnum, without_answer(rest)))
+        return 0
+    said = _SAID_VALUE.search(rest.lower())
+    plain = lambda x: x.replace(",", "").rstrip(".")
+    if said and plain(said[1]) not in map(plain, _NUMBER.findall((sentences(lowered) or [""])[-1])):
+        return OTHER_VALUE
+    return GOES_ON if any(map(str.isalnum, without_answer(rest))) else 0
+
+
+_SORTED = (
+    "part int, row bigint, defect string, size int, hash bigint, shown int, waits boolean, ends boolean, finish string, closing array<bigint>, last2 bigint, last1 bigint, "
+    "first string, second string, last string, opening bigint, uses bigint, final bigint"
+)
+_NAMES, _KINDS = zip(*(x.split() for x in _SORTED.split(", ")))
+_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
+#: Openings a task counts before it sends them on.
+_COUNTED = 50_000
+
 
+def _records(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _TYPES[k]) for n, k in zip(_NAMES, _KINDS)], list(_NAMES))
 
-_SORTED = "part int, row bigint, defect string, size int, hash bigint, shown boolean, waits boolean, first string, second string, last string"
 
+def _evidence(bare: str) -> dict:
+    """What decides an unstated text: openings of its sentences with a number, the last one's, its end.
 
-def _batch(part: int, rows: list[tuple], waits: bool, edges: list[tuple]) -> pa.RecordBatch:
-    names, kinds = zip(*(x.split() for x in _SORTED.split(", ")))
-    types = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
-    columns = zip(*((part, *r, waits, *e) for r, e in zip(rows, edges)))
-    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(columns, kinds)], names)
+    Words near the end count as openings too if a number follows: marks between sentences are
+    sometimes lost.
+    """
+    found = sentences(bare.lower())
+    numbers = [x for x in found if any(map(str.isdigit, x)) and not x.rstrip().endswith("?")]
+    closing = [x for s in numbers for x in opening(s)]
+    tail = WORD.findall(_DIGITS.sub("0", bare[-160:]))[-NEAR_END:]
+    words = [w.lower() for w in tail]
+    last = max((i for i, w in enumerate(words) if any(map(str.isdigit, w))), default=0)
+    # It must look like a sentence's first word, for within one the same words may go on; in a text
+    # without capitals any two words of a finished one may.
+    plain = bare.islower() and _ends(bare)
+    for i in range(last):
+        first = tail[i][0]
+        if first.isupper() or not first.isdigit() and (plain or first.lower() == first.upper()):
+            closing += [" ".join(words[i : i + 2]), *words[i : i + 1] * first.isupper()]
+    two, one = opening(found[-1]) if found else ("", "")
+    return {"closing": list(dict.fromkeys(map(code, filter(None, closing)))), "last2": code(two), "last1": code(one), "ends": _ends(bare)}
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
-    """Judged rows, and whether the next text shows them cut; rows of a part's last text wait for
-    the next part's; one more row per part has its edge texts."""
+    """Judged rows, and what the next text shows of them; rows of a part's last text wait for the
+    next part's.  Further rows have a part's edge texts, and the uses of openings in different texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         judge = Judge()
         edges: list[str] = []
         current: str | None = None
-        waiting: list[tuple[int, str, int, int, bool]] = []
+        waiting: list[dict] = []
+        uses: Counter = Counter()
+        final: Counter = Counter()
+        codes: dict[str, int] = {}
+        new = False
+
+        def count(text: str, verdict: str) -> None:
+            found = [opening(x) for x in sentences(text.lower())]
+            for x in found:
+                uses.update(x)
+            if verdict == UNSTATED and found:
+                final.update(found[-1])
+
+        def counted() -> pa.RecordBatch:
+            out = _records([{"opening": code(x), "uses": n, "final": final[x]} for x, n in uses.items()])
+            uses.clear()
+            final.clear()
+            return out
+
         for batch in batches:
-            out: list[tuple[int, str, int, int, bool]] = []
-            for row, question, text, finish, method, code in zip(*(c.to_pylist() for c in batch.columns)):
+            out: list[dict] = []
+            for row, question, text, finish, method, own in zip(*(c.to_pylist() for c in batch.columns)):
                 if text is not None and text != current:
                     if waiting:
-                        cut = shortened(current, text)
-                        out += [(*w[:4], cut) for w in waiting if cut or w[1] != COMPLETE]
+                        shown = shortened(current, text)
+                        out += [w | {"shown": shown} for w in waiting if shown or w["defect"] != COMPLETE]
                         waiting = []
-                    current = text
+                    current, new = text, True
                     if len(edges) < 2:
                         edges.append(text)
                 verdict = judge(question, text, finish, method)
-                kept = (row, verdict, len(text or ""), code, False)
-                (waiting if verdict in (COMPLETE, OPEN, ENDED, TRUNCATED) else out).append(kept)
+                kept = {"part": part, "row": row, "defect": verdict, "size": len(text or ""), "hash": own, "finish": finish, "shown": 0, "waits": False}
+                if verdict not in (COMPLETE, OPEN, ENDED, UNSTATED, TRUNCATED):
+                    out.append(kept)
+                    continue
+                if new:
+                    count(text, verdict)
+                    new = False
+                waiting.append(kept | _evidence(text.strip()) if verdict == UNSTATED else kept)
+            if len(uses) > _COUNTED:
+                yield counted()
             if out:
-                yield _batch(part, out, False, [(None, None, None)] * len(out))
+                yield _records(out)
         if edges:
-            # The part's own row comes first; the rows still waiting follow.
-            yield _batch(part, [(None,) * 5, *waiting], True, [(edges[0], edges[1] if len(edges) > 1 else None, current), *[(None, None, None)] * len(waiting)])
+            yield _records([{"part": part, "first": edges[0], "second": edges[1] if len(edges) > 1 else None, "last": current}])
+        if waiting:
+            yield _records([w | {"waits": True} for w in waiting])
+        if uses:
+            yield counted()
 
     return rows.mapInArrow(run, _SORTED)
 
 
 def _edges(parts: DataFrame) -> DataFrame:
-    """Parts whose last text is a shortened version of the next different text.
+    """Parts whose last text the next different text shows to be cut, and how.
 
     One row per part of the sort arrives here, in order; only the texts at the edges are held.
     """
@@ -338,14 +387,14 @@ def _edges(parts: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 other = next((x for x in (r["first"], r["second"]) if x is not None and x != last), None)
                 if other is not None and last is not None:
-                    if shortened(last, other):
-                        cut += open_parts
+                    shown = shortened(last, other)
+                    cut += [(p, shown) for p in open_parts if shown]
                     open_parts = []
                 open_parts.append(r["part"])
                 last = r["last"]
-        yield pa.RecordBatch.from_arrays([pa.array(cut, pa.int32())], ["part"])
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in cut], pa.int32()), pa.array([x for _, x in cut], pa.int32())], ["part", "edge"])
 
-    return parts.select("part", "first", "second", "last").repartition(1).sortWithinPartitions("part").mapInArrow(run, "part int")
+    return parts.select("part", "first", "second", "last").repartition(1).sortWithinPartitions("part").mapInArrow(run, "part int, edge int")
 
 
 def _spikes(lengths: DataFrame, times: float, chance: float, around: int) -> DataFrame:
@@ -366,21 +415,56 @@ def _spikes(lengths: DataFrame, times: float, chance: float, around: int) -> Dat
 
 
 def judged_pairs(df: DataFrame, row: str, question: str, text: str, finish: str, method: str, spike_times: float, spike_chance: float) -> DataFrame:
-    """``row``, ``defect`` and ``shown_by`` (rule, neighbour, rule and neighbour, or spike) of each defective row."""
+    """``row``, ``defect`` and ``shown_by`` of each defective row: the first that applies of neighbour,
+    spike, sentence (its last one's opening goes on elsewhere) and rule."""
     recorded = [(df[c] if c in df.columns else F.lit(None)).cast("string").alias(n) for n, c in (("finish", finish), ("method", method))]
     rows = df.select(df[row].alias("row"), df[question].alias("question"), df[text].alias("text"), *recorded)
     ordered = rows.repartitionByRange("text", "row").sortWithinPartitions("text", "row").withColumn("hash", F.xxhash64("text"))
     judged = stage(_neighbours(ordered), "defect-rows")
-    cut = _edges(judged.where("row is null")).withColumn("cut", F.lit(True))
+    cut = _edges(judged.where("last is not null"))
     # Parts are as many as tasks of the sort: a table of a few bytes each.
     found = judged.where("row is not null").join(F.broadcast(cut), "part", "left")
-    settled = found.withColumn("shown", F.col("shown") | (F.col("waits") & F.coalesce("cut", F.lit(False))))
-    spikes = _spikes(settled.where((F.col("defect") == OPEN) & ~F.col("shown")), spike_times, spike_chance, 16)
-    sure = settled.where(F.col("shown") | ~F.col("defect").isin(COMPLETE, OPEN, ENDED))
-    by = F.when(F.col("shown") & (F.col("defect") == TRUNCATED), "rule and neighbour").when(F.col("shown"), "neighbour").otherwise("rule")
-    sure = sure.select("row", F.when(F.col("shown"), TRUNCATED).otherwise(F.col("defect")).alias("defect"), by.alias("shown_by"))
-    at_limit = settled.where(~F.col("shown") & F.col("defect").isin(OPEN, ENDED)).join(spikes, "size", "left_semi")
-    return sure.unionByName(at_limit.select("row", F.lit(TRUNCATED).alias("defect"), F.lit("spike").alias("shown_by"))).withColumnRenamed("row", row)
+    found = found.withColumn("shown", F.when(F.col("waits"), F.coalesce("edge", F.lit(0))).otherwise(F.col("shown")))
+    settled = stage(_settled(found, judged.where("opening is not null"), rows.count()), "defect-settled")
+    spikes = _spikes(settled.where("open"), spike_times, spike_chance, 16)
+    at_limit = settled.join(F.broadcast(spikes.withColumn("spike", F.lit(True))), "size", "left")
+    truncated = F.col("cut") | (F.col("defect") == TRUNCATED) | (F.col("spike").isNotNull() & (F.col("open") | F.col("near_end")))
+    by = F.when(F.col("shown") > 0, "neighbour").when(F.col("spike").isNotNull() & F.col("open"), "spike").when(F.col("sentence"), "sentence")
+    out = at_limit.withColumn("defect", F.when(truncated, TRUNCATED).when(F.col("defect").isin(COMPLETE, OPEN, ENDED, UNSTATED), F.lit(None)).otherwise(F.col("defect")))
+    return out.where("defect is not null").select("row", "defect", F.when(truncated, F.coalesce(by, F.lit("rule"))).otherwise("rule").alias("shown_by")).withColumnRenamed("row", row)
+
+
+def _settled(found: DataFrame, counted: DataFrame, rows: int) -> DataFrame:
+    """Judged rows with what their sentences tell.
+
+    ``cut``: truncated, whatever the lengths say; ``sentence``: so its last sentence shows; ``open``:
+    counts towards a spike; ``near_end``: doesn't, but may lie on one.
+    """
+    openings = counted.groupBy("opening").agg(F.sum("uses").alias("uses"), F.sum("final").alias("final"))
+    openings = stage(openings.withColumn("closing", F.col("final") >= CLOSING_SHARE * F.col("uses")), "defect-openings")
+    support = max(2, rows // CLOSING_TEXTS)
+    # Every closing opening stands last in ``support`` texts of its own: at most CLOSING_TEXTS of
+    # two words and as many of one.
+    closers = openings.where(F.col("closing") & (F.col("final") >= support)).select(F.col("opening").alias("closer"))
+    unstated = found.where(F.col("defect") == UNSTATED)
+    closed = unstated.select("row", F.explode("closing").alias("closer")).join(F.broadcast(closers), "closer", "left_semi").groupBy("row").agg(F.collect_set("closer").alias("closed_by"))
+    known = [openings.select(F.col("opening").alias(f"last{i}"), F.col("uses").alias(f"uses{i}"), F.col("closing").alias(f"closing{i}")) for i in (1, 2)]
+    told = unstated.select("row", "last1", "last2").join(known[1], "last2", "left").join(known[0], "last1", "left")
+    # Uses of the text itself tell nothing of others.
+    told = told.join(closed, "row", "left").select(
+        "row", F.coalesce(F.size("closed_by") > 0, F.lit(False)).alias("closed"), F.coalesce(F.array_contains("closed_by", F.col("last2")) | F.array_contains("closed_by", F.col("last1")), F.lit(False)).alias("last_closes"),
+        F.when(F.col("uses2") >= KNOWN_USES, ~F.col("closing2") & ~F.coalesce("closing1", F.lit(False))).when(F.col("uses1") >= KNOWN_USES, ~F.col("closing1")).otherwise(False).alias("goes_on"),
+    )
+    both = found.join(told, "row", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("closed", "last_closes", "goes_on", "ends")})
+    unstated, shown = F.col("defect") == UNSTATED, F.col("shown")
+    unfinished = unstated & ~F.col("closed") & (~F.col("ends") | F.col("goes_on") | (F.coalesce("finish", F.lit("")) == "max_tokens"))
+    goes_on = (shown > 0) & ~(unstated & F.col("closed") & F.col("last_closes") & (shown == GOES_ON))
+    tail = unstated & F.col("closed") & ~F.col("ends")
+    both = both.withColumns({
+        "cut": F.col("defect").isin(COMPLETE, OPEN, ENDED, UNSTATED) & (goes_on | unfinished), "sentence": unfinished & F.col("goes_on"),
+        "open": (F.col("defect") == OPEN) | unfinished | (tail & ~F.col("last_closes")), "near_end": (F.col("defect") == ENDED) | (tail & F.col("last_closes") & ~F.coalesce(F.col("finish") == "eos", F.lit(False))),
+    })
+    return both.select("row", "defect", "size", "hash", "shown", "cut", "sentence", "open", "near_end")
 
 
 def broken_pairs(

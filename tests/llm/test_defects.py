@@ -66,7 +66,9 @@ def test_neighbours_and_recorded_evidence_beside_the_phrases(spark):
         (early, "eos", "truncated"), (early + " Then 5 more come, which makes 8.\nFinal answer: 8", "eos", None),
         ("A" + last, "eos", "truncated"), ("A" + last + " Of those 5 are sold.\nFinal answer: 7", "eos", None),
         ("B" + last, "eos", None), ("B" + last + "\nFinal answer: 12", "eos", None),
-        ("C" + STEPS + " Hence x equals 42.", "eos", None), ("D" + STEPS + " Hence x equals 42.", None, None), ("E" + STEPS + " Hence x equals 42.", "max_tokens", "truncated"),
+        ("C" + STEPS + " Hence x equals 42.", "eos", None), ("D" + STEPS + " Hence x equals 42.", None, None), ("E" + STEPS + " Hence x equals 42.", "max_tokens", None),
+        ("F" + STEPS + " Unseen phrase with 4.", "max_tokens", "truncated"), ("G" + STEPS + " Other words with 4.", "eos", None),
+        *((f"H{i}" + STEPS + f" Therefore {i} stay.", "eos", None) for i in range(10, 20)),
     ]
     df = spark.createDataFrame([(i, None, t, f) for i, (t, f, _) in enumerate(cases)], "row_no long, question string, solution string, finish_status string")
     assert {r.row_no: r.defect for r in defects.broken_pairs(df).collect()} == {i: d for i, (*_, d) in enumerate(cases) if d}
@@ -75,3 +77,30 @@ def test_neighbours_and_recorded_evidence_beside_the_phrases(spark):
 def test_null_questions_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, None, GERMAN + "\nFinal answer: 1"), (2, None, None), (3, QUESTION, None), (4, QUESTION, GERMAN), (5, QUESTION, GERMAN)], "row_no long, question string, solution string")
     assert {r.row_no: r.defect for r in defects.broken_pairs(df).collect()} == {2: "empty", 3: "empty", 4: "other_language", 5: "other_language"}
+
+
+def _texts(closings, seed):
+    """Texts of shuffled steps in the given closing words, and which of them were cut."""
+    import random
+
+    rng = random.Random(seed)
+    steps = ["Adding {a} gives {b} in all.", "Each of the {a} boxes holds {b} pens.", "We split {a} into {b} parts.", "Now {a} times {b} is what we need.", "After {a} days {b} remain."]
+    out = []
+    for i in range(400):
+        body = [x.format(a=rng.randrange(10, 900), b=rng.randrange(10, 900)) for x in rng.choices(steps, k=rng.randrange(3, 8))]
+        text = " ".join([*body, rng.choice(closings).format(n=rng.randrange(10, 900))])
+        cut = i % 10 == 0
+        if cut:
+            text = text[: rng.randrange(20, len(" ".join(body)))]
+        out.append((i, None, text, "max_tokens" if cut and rng.random() < 0.7 else "eos", cut))
+    return out
+
+
+def test_closing_phrases_are_learned_from_the_corpus(spark):
+    """Phrases that no list has; marks at the end tell nothing of texts cut between sentences."""
+    rows = _texts(["Quantity sought: exactly {n} units.", "Our tally comes to {n} now.", "Derhalben zähle ich {n} Stück."], 5)
+    df = spark.createDataFrame([r[:4] for r in rows], "row_no long, question string, solution string, finish_status string")
+    found = defects.judged_pairs(df, "row_no", "question", "solution", "finish_status", "parser_method", 8.0, 1e-9).collect()
+    got, true = {r.row_no for r in found}, {r[0] for r in rows if r[4]}
+    assert len(got & true) >= 0.95 * len(true) and len(got & true) >= 0.95 * len(got)
+    assert sum(r.shown_by == "sentence" for r in found) >= 0.6 * len(true)
