@@ -36,10 +36,10 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--overwrite", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("mathloom").getOrCreate()
-    files.guard(args.output, args.overwrite)
+    files.guard(spark, args.output, args.overwrite)
     files.write_parquet(STAGES[args.stage](Rebuild(spark, args.folder)), args.output, args.overwrite)
     values = {"stage": args.stage, "rows": spark.read.parquet(args.output).count()}
-    files.write_summary(values, args.output)
+    files.write_summary(spark, values, args.output)
     print(json.dumps(values, indent=2))
     return 0
 

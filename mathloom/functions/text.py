@@ -7,6 +7,8 @@ ends a line.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,18 +65,43 @@ def last_number(text: Column) -> Column:
     return F.coalesce(normalize_integer(_last(text, f"(?dU){LAST_NUMBER}", 0)), F.lit(""))
 
 
+@lru_cache(maxsize=1)
+def _folding() -> tuple[dict[str, str], dict[str, str]]:
+    """What full case folding still changes of a lower-cased text: characters to one, and to several."""
+    one, several = {}, {}
+    for c in map(chr, range(0x80, 0x1E944)):
+        low, full = c.lower(), c.casefold()
+        if len(low) == 1 and low != full:
+            (one if len(full) == 1 else several)[low] = full
+    return one, several
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding: ``ß`` becomes ``ss``, ``ς`` becomes ``σ``, ligatures their letters.
+
+    Lower-casing is all for nearly all texts; only those with a character it leaves over are
+    changed further.
+    """
+    one, several = _folding()
+    low = F.lower(text)
+    left = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in (*one, *several)) + "]"
+    longer = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(full).alias("full")) for c, full in several.items()))
+    folded = F.reduce(longer, F.translate(low, "".join(one), "".join(one.values())), lambda t, x: F.replace(t, x["c"], x["full"]))
+    return F.when(F.octet_length(low) == F.length(low), low).when(F.rlike(low, F.lit(left)), folded).otherwise(low)
+
+
 def _single_spaces(text: Column) -> Column:
     return F.regexp_replace(text, " {2,}", " ")
 
 
 def collapse(text: Column) -> Column:
-    """One space for each run of white space, stripped, lower-cased."""
-    return F.lower(F.trim(_single_spaces(F.translate(text, WS_CHARACTERS, " " * len(WS_CHARACTERS)))))
+    """One space for each run of white space, stripped, case folded."""
+    return casefold(F.trim(_single_spaces(F.translate(text, WS_CHARACTERS, " " * len(WS_CHARACTERS)))))
 
 
 def normalize_solution(text: Column) -> Column:
-    """Without final-answer lines, lower-cased, products as ``*``, other characters as one space."""
-    body = F.lower(F.regexp_replace(text, rf"(?imd){FINAL_LABEL}[^\n]*$", ""))
+    """Without final-answer lines, case folded, products as ``*``, other characters as one space."""
+    body = casefold(F.regexp_replace(text, rf"(?imd){FINAL_LABEL}[^\n]*$", ""))
     body = F.replace(F.replace(body, F.lit("\\cdot"), F.lit("*")), F.lit("\\times"), F.lit("*"))
     # Spaces stand outside the pattern, so that it matches only where something else goes.
     return F.trim(_single_spaces(F.regexp_replace(body, DROPPED, " ")))

@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 _BARS = 4096
 
 
+def _one_of(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    # A window and not max_by of the whole row: columns that nobody reads aren't moved, and each
+    # task sends one row a key.
+    ranked = df.withColumn("n_", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    return ranked.where("n_ = 1").drop("n_")
+
+
 def last_by(df: DataFrame, keys: list[str], row: str = "row_no") -> DataFrame:
-    """The row of largest ``row`` for each key (a dictionary's last write).  Map-side combined."""
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), row).alias("r_")).select("r_.*")
+    """The row of largest ``row`` for each key (a dictionary's last write)."""
+    return _one_of(df, keys, F.col(row).desc())
 
 
 def first_by(df: DataFrame, keys: list[str], row: str | Column = "row_no") -> DataFrame:
     """The row of smallest ``row`` for each key."""
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), row).alias("r_")).select("r_.*")
+    return _one_of(df, keys, (F.col(row) if isinstance(row, str) else row).asc_nulls_last())
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,19 +10,20 @@ from __future__ import annotations
 import csv
 import io
 import json
-import os
+import posixpath
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mathloom.operators.keyed import require
+from mathloom.scratch import exists, filesystem
 
-#: Rows of one Arrow batch of a CSV file.
-_BATCH = 2000
+#: Rows of one Arrow batch of a CSV file, and characters of a piece that is written at once.
+_BATCH, _CHUNK = 2000, 1_000_000
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
@@ -64,16 +65,15 @@ def read_csv(spark: SparkSession, path: str, required: list[str] = (), exact: bo
     names = schema.names
     kinds = [pa.string()] * len(columns) + [pa.int64()]
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    # Names, not contents, are numbered.
-    order = {p: i for i, p in enumerate(sorted(r[0] for r in files.select("path").collect()))}
-    numbered = files.select(F.coalesce(*[F.when(F.col("path") == p, F.lit(i)) for p, i in order.items()]).cast("long").alias("n"), "content") if order else files.select(F.lit(0).cast("long").alias("n"), "content")
-    return numbered.mapInArrow(parse, schema)
+    # Names are numbered in one task, a few bytes each; contents stay where they are read.
+    number = (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("n")
+    return files.join(files.select("path").select("path", number), "path").select("n", "content").mapInArrow(parse, schema)
 
 
 def read_or_empty(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV table, or no rows where the file is missing or empty."""
-    local = path.removeprefix("file://")
-    if os.path.exists(local) and (os.path.isdir(local) or os.path.getsize(local)):
+    fs, hadoop_path = filesystem(spark, path)
+    if fs.exists(hadoop_path) and fs.getContentSummary(hadoop_path).getLength():
         return read_csv(spark, path)
     return spark.createDataFrame([], T.StructType([*(T.StructField(c, T.StringType()) for c in columns), T.StructField("row_no", T.LongType())]))
 
@@ -82,30 +82,56 @@ def read_parquet(spark: SparkSession, path: str, required: list[str] = (), exact
     return require(spark.read.parquet(path), list(required), exact)
 
 
-def guard(path: str, overwrite: bool) -> None:
-    """Raises if the output exists and may not be overwritten."""
-    if os.path.exists(path.removeprefix("file://")) and not overwrite:
+def guard(spark: SparkSession, path: str, overwrite: bool) -> None:
+    """Raises if the output exists, on whatever file system, and may not be overwritten."""
+    if not overwrite and exists(spark, path):
         raise FileExistsError(f"output exists: {path}")
 
 
+def _put(spark: SparkSession, path: str, chunks: Iterator[bytes]) -> None:
+    """Bytes to a file of any file system, written beside its place and moved into it."""
+    fs, target = filesystem(spark, path)
+    beside = filesystem(spark, f"{path}.tmp")[1]
+    stream = fs.create(beside, True)
+    try:
+        for chunk in chunks:
+            stream.write(bytearray(chunk))
+    finally:
+        stream.close()
+    fs.delete(target, False)
+    if not fs.rename(beside, target):
+        raise OSError(f"can't move the output into place: {path}")
+
+
 def write_csv(df: DataFrame, path: str, order: str = "row_no", overwrite: bool = False, mark: bool = True, drop_order: bool = True) -> int:
     """One CSV file, written beside its place and moved into it; returns the number of rows.
 
     ``mark``: begin with a byte-order mark.  Rows arrive a partition at a time in the order of
     ``order``; booleans are written as True and False, nulls as empty cells.
     """
-    guard(path, overwrite)
+    spark = df.sparkSession
+    guard(spark, path, overwrite)
     ordered = df.orderBy(order)
     columns = [c for c in df.columns if not (drop_order and c == order)]
-    temporary, rows = f"{path}.tmp", 0
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(temporary, "w", encoding="utf-8-sig" if mark else "utf-8", newline="") as f:
-        writer = csv.writer(f)
+    rows = 0
+
+    def chunks() -> Iterator[bytes]:
+        nonlocal rows
+        text = io.StringIO(newline="")
+        writer = csv.writer(text)
         writer.writerow(columns)
+        if mark:
+            yield b"\xef\xbb\xbf"
         for r in ordered.select(*columns).toLocalIterator(prefetchPartitions=True):
             writer.writerow(["" if x is None else x for x in r])
             rows += 1
-    os.replace(temporary, path)
+            if text.tell() > _CHUNK:
+                yield text.getvalue().encode()
+                text.seek(0)
+                text.truncate()
+        yield text.getvalue().encode()
+
+    _put(spark, path, chunks())
     return rows
 
 
@@ -124,18 +150,26 @@ def summary(df: DataFrame) -> dict:
     return row.asDict(recursive=True) if row else {}
 
 
-def write_summary(values: dict, output: str) -> str:
+def summary_path(output: str) -> str:
+    return re.sub(r"\.[^./]*$", "", output) + ".summary.json"
+
+
+def write_summary(spark: SparkSession, values: dict, output: str) -> str:
     """JSON beside an output, indented, with a final newline."""
-    path = re.sub(r"\.[^./]*$", "", output) + ".summary.json"
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps(values, indent=2) + "\n")
+    path = summary_path(output)
+    _put(spark, path, iter([(json.dumps(values, indent=2, default=str) + "\n").encode()]))
     return path
 
 
-def read_summary(path: str, *keys: str, default=None):
+def display_path(path: str, base: str) -> str:
+    """The path from ``base`` on where it lies below it, the whole path elsewhere."""
+    inside = posixpath.relpath(path, base) if path.startswith("/") == base.startswith("/") else ".."
+    return path if inside.split("/")[0] == ".." else inside
+
+
+def read_summary(spark: SparkSession, path: str, *keys: str, default=None):
     """A value of a JSON file by its path of keys, or the default where one is absent."""
-    with open(path, encoding="utf-8") as f:
-        value = json.load(f)
+    value = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
     for k in keys:
         if not isinstance(value, dict) or k not in value:
             return default
@@ -149,9 +183,11 @@ def checkpoint_step(name: str) -> int:
     return int(tail) if tail.isdigit() else -1
 
 
-def checkpoints(folder: str) -> list[str]:
+def checkpoints(spark: SparkSession, folder: str) -> list[str]:
     """Complete checkpoints (those with a trainer state), earliest step first."""
-    if not os.path.isdir(folder):
+    fs, hadoop_path = filesystem(spark, folder)
+    if not fs.exists(hadoop_path):
         return []
-    found = [n for n in os.listdir(folder) if n.startswith("checkpoint-") and os.path.exists(os.path.join(folder, n, "trainer_state.json"))]
-    return [os.path.join(folder, n) for n in sorted(found, key=checkpoint_step)]
+    names = [x.getPath().getName() for x in fs.listStatus(hadoop_path) if x.isDirectory()]
+    found = [n for n in names if n.startswith("checkpoint-") and exists(spark, f"{folder}/{n}/trainer_state.json")]
+    return [f"{folder}/{n}" for n in sorted(found, key=checkpoint_step)]

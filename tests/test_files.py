@@ -35,15 +35,43 @@ def test_missing_and_empty_files_are_empty_tables(spark, tmp_path):
     assert files.read_or_empty(spark, str(tmp_path / "h.csv"), ["id"]).columns == ["id", "x", "row_no"]
 
 
-def test_summaries_and_checkpoints(tmp_path):
-    path = files.write_summary({"rows": 2, "eval": {"loss": 0.5}}, str(tmp_path / "x.parquet"))
-    assert path.endswith("x.summary.json") and files.read_summary(path, "eval", "loss") == 0.5 and files.read_summary(path, "no", default=1) == 1
+def test_summaries_and_checkpoints(spark, tmp_path):
+    path = files.write_summary(spark, {"rows": 2, "eval": {"loss": 0.5}}, str(tmp_path / "x.parquet"))
+    assert path.endswith("x.summary.json") and files.read_summary(spark, path, "eval", "loss") == 0.5 and files.read_summary(spark, path, "no", default=1) == 1
     for n, state in (("checkpoint-9", True), ("checkpoint-10", True), ("checkpoint-11", False), ("checkpoint-x", True)):
         os.makedirs(tmp_path / "m" / n)
         if state:
             (tmp_path / "m" / n / "trainer_state.json").write_text("{}")
-    assert [os.path.basename(x) for x in files.checkpoints(str(tmp_path / "m"))] == ["checkpoint-x", "checkpoint-9", "checkpoint-10"]
-    assert files.checkpoints(str(tmp_path / "no")) == []
+    assert [os.path.basename(x) for x in files.checkpoints(spark, str(tmp_path / "m"))] == ["checkpoint-x", "checkpoint-9", "checkpoint-10"]
+    assert files.checkpoints(spark, str(tmp_path / "no")) == []
+    assert files.display_path("/a/b/c", "/a") == "b/c" and files.display_path("/ab/c", "/a") == "/ab/c" and files.display_path("x/y", "/a") == "x/y"
+
+
+def test_other_file_systems_are_asked(spark, tmp_path):
+    """A path of another scheme than the local disk's: nothing is taken for missing."""
+    (tmp_path / "real").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.away.link./data", f"file://{tmp_path}/real")
+    base = "viewfs://away/data"
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "id string, row_no long")
+    assert files.write_csv(df, f"{base}/t.csv") == 2
+    assert sorted(r.id for r in files.read_or_empty(spark, f"{base}/t.csv", ["id"]).collect()) == ["a", "b"]
+    with pytest.raises(FileExistsError):
+        files.guard(spark, f"{base}/t.csv", False)
+    files.guard(spark, f"{base}/none.csv", False)
+    assert files.read_or_empty(spark, f"{base}/none.csv", ["id"]).collect() == []
+    for _ in range(2):
+        df.write.mode("append").parquet(f"{base}/in")
+        q = work_off(spark.readStream.schema("id string, row_no long").parquet(f"{base}/in"), ["id"], lambda x: x, f"{base}/out", f"{base}/progress")
+        q.awaitTermination(60)
+        q.stop()
+    assert sorted(r.id for r in spark.read.parquet(f"{base}/out").collect()) == ["a", "b"]
+
+
+def test_files_of_a_folder_are_numbered_by_name(spark, tmp_path):
+    for name, ids in (("b.csv", "c"), ("a.csv", "ab"), ("c.csv", "")):
+        (tmp_path / name).write_text("id\n" + "".join(f"{i}\n" for i in ids))
+    got = files.read_csv(spark, str(tmp_path)).orderBy("row_no").collect()
+    assert [r.id for r in got] == ["a", "b", "c"] and [r.row_no >> 40 for r in got] == [0, 0, 1]
 
 
 def build():
@@ -88,7 +116,7 @@ def test_resume(spark):
 
 def test_stream_works_each_key_once(spark, tmp_path):
     source, output, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
-    spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "id string, v int").write.parquet(source)
+    spark.createDataFrame([("a", 1), ("b", 5), ("b", 2)], "id string, v int").write.parquet(source)
 
     def start():
         q = work_off(spark.readStream.schema("id string, v int").parquet(source), ["id"], lambda df: df.withColumn("w", F.col("v") + 1), output, progress)
