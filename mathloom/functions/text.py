@@ -66,28 +66,37 @@ def last_number(text: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _folding() -> tuple[dict[str, str], dict[str, str]]:
-    """What full case folding still changes of a lower-cased text: characters to one, and to several."""
-    one, several = {}, {}
+def _folding() -> tuple[dict[str, str], str, dict[str, str]]:
+    """What full case folding still changes of a lower-cased text.
+
+    First characters of the foldings; a class of few ranges that has all these characters; and the
+    rest of longer foldings, each with the class of the characters it follows.
+    """
+    first, rest = {}, {}
     for c in map(chr, range(0x80, 0x1E944)):
         low, full = c.lower(), c.casefold()
         if len(low) == 1 and low != full:
-            (one if len(full) == 1 else several)[low] = full
-    return one, several
+            first[low] = full[0]
+            if len(full) > 1:
+                rest.setdefault(full[1:], []).append(low)
+    codes = sorted(map(ord, first))
+    edges = [codes[0], *(x for a, b in zip(codes, codes[1:]) if b - a > 16 for x in (a, b)), codes[-1]]
+    ranges = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(edges[::2], edges[1::2])) + "]"
+    return first, ranges, {tail: f"[{''.join(own)}]" for tail, own in rest.items()}
 
 
 def casefold(text: Column) -> Column:
     """Full case folding: ``ß`` becomes ``ss``, ``ς`` becomes ``σ``, ligatures their letters.
 
-    Lower-casing is all for nearly all texts; only those with a character it leaves over are
+    Lower-casing is all for nearly all texts; only those with a character it may leave over are
     changed further.
     """
-    one, several = _folding()
-    low = F.lower(text)
-    left = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in (*one, *several)) + "]"
-    longer = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(full).alias("full")) for c, full in several.items()))
-    folded = F.reduce(longer, F.translate(low, "".join(one), "".join(one.values())), lambda t, x: F.replace(t, x["c"], x["full"]))
-    return F.when(F.octet_length(low) == F.length(low), low).when(F.rlike(low, F.lit(left)), folded).otherwise(low)
+    first, ranges, rest = _folding()
+    low = full = F.lower(text)
+    for tail, own in rest.items():
+        full = F.regexp_replace(full, own, f"$0{tail}")
+    full = F.translate(full, "".join(first), "".join(first.values()))
+    return F.when(F.octet_length(text) == F.length(text), low).when(F.rlike(low, F.lit(ranges)), full).otherwise(low)
 
 
 def _single_spaces(text: Column) -> Column:

@@ -7,14 +7,17 @@ have unique keys, which ``keyed.last_by`` establishes.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mathloom.functions import text as T
 from mathloom.operators import keyed
-from mathloom.scratch import stage
+from mathloom.scratch import free, stage
 
 KEY = ["id", "candidate_index"]
+#: Links of one id and equations that one task decides on (some 100 bytes each).
+BLOCK_LINKS = 500_000
 
 
 def filled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,54 +92,86 @@ def index_of() -> Column:
 
 
 def _earlier_links(forms: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of similar forms of one block, the earlier first.
+    """Pairs (block, u, v) of similar forms of one id and equations, the earlier first.
 
     Similar token sets share one of their first tokens in any fixed order, so the join is on those
-    tokens and not on whole blocks.
+    tokens and not on whole blocks; long tokens, which are rarer than operators, come first.
     """
     n = F.size("tokens")
-    prefix = F.slice(F.array_sort("tokens"), 1, F.greatest(n - F.ceil(n * threshold - 1e-9) + 1, F.lit(1)).cast("int"))
-    listed = forms.select("id", "equations", "tokens", "index", "row_no", F.explode(prefix).alias("token"))
-    a = listed.select("id", "equations", "token", F.col("index").alias("iu"), F.col("row_no").alias("u"), F.col("tokens").alias("tu"))
-    b = listed.select("id", "equations", "token", F.col("index").alias("iv"), F.col("row_no").alias("v"), F.col("tokens").alias("tv"))
-    small, large = F.least(F.size("tu"), F.size("tv")), F.greatest(F.size("tu"), F.size("tv"))
-    pairs = a.join(b, ["id", "equations", "token"]).where((F.struct("iu", "u") < F.struct("iv", "v")) & (small >= large * threshold - 1e-9))
-    return pairs.where(T.jaccard(F.col("tu"), F.col("tv")) >= threshold).select("id", "u", "v").distinct()
+    rare_first = F.array_sort(F.transform("tokens", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    prefix = F.slice(rare_first["t"], 1, F.greatest(n - F.ceil(n * threshold - 1e-9) + 1, F.lit(1)).cast("int"))
+    # Blocks whose hashes collide share a task, no more: their rows are compared on equations too.
+    block = F.xxhash64("id", "equations").alias("block")
+    listed = forms.select(block, "id", "equations", "tokens", "index", "row_no", F.explode(prefix).alias("token"))
+    listed = listed.select("id", "equations", "token", "block", F.struct("index", "row_no").alias("place"), "tokens")
+    a, b = (listed.withColumnsRenamed({c: f"{c}_{x}" for c in ("block", "place", "tokens")}) for x in "uv")
+    small, large = F.least(F.size("tokens_u"), F.size("tokens_v")), F.greatest(F.size("tokens_u"), F.size("tokens_v"))
+    pairs = a.join(b, ["id", "equations", "token"]).where((F.col("place_u") < F.col("place_v")) & (small >= large * threshold - 1e-9))
+    similar = pairs.where(T.jaccard(F.col("tokens_u"), F.col("tokens_v")) >= threshold)
+    return similar.select(F.col("block_u").alias("block"), F.col("place_u").alias("u"), F.col("place_v").alias("v")).distinct()
+
+
+def _settled_at_once(links: DataFrame) -> DataFrame:
+    """Rows that go, of blocks whose links one task holds: the greedy choice itself."""
+
+    def choose(table: pa.Table) -> pa.Table:
+        u, v = (table.column(c).to_pylist() for c in "uv")
+        gone: set = set()
+        for earlier, later in sorted(zip(((x["index"], x["row_no"]) for x in u), ((x["index"], x["row_no"]) for x in v))):
+            # Links of an earlier row come first, and by then all links into it have been met.
+            if earlier not in gone:
+                gone.add(later)
+        return pa.table({"row_no": pa.array([r for _, r in gone], pa.int64())})
+
+    return links.groupBy("block").applyInArrow(choose, "row_no bigint")
+
+
+def _settled_in_rounds(links: DataFrame, most_rounds: int | None) -> DataFrame | None:
+    """Rows that go, of blocks of any size: a row without an earlier undecided neighbour is kept and
+    its later neighbours go, until no link is left; ``most_rounds`` raises beyond."""
+    links, gone, done = stage(links.select("block", F.col("u.row_no").alias("u"), F.col("v.row_no").alias("v")), "dedup-links"), None, 0
+    while links.limit(1).count():
+        if done == most_rounds:
+            raise RuntimeError(f"near-duplicates are left after {done} rounds")
+        done += 1
+        behind = links.select("block", F.col("v").alias("u")).distinct()
+        kept = links.select("block", "u").distinct().join(behind, ["block", "u"], "left_anti")
+        dropped = stage(links.join(kept, ["block", "u"], "left_semi").select("block", F.col("v").alias("u")).distinct(), "dedup-gone")
+        gone = dropped if gone is None else gone.unionByName(dropped)
+        if done % 16 == 0:
+            gone = stage(gone, "dedup-gone")
+        left = links.join(kept, ["block", "u"], "left_anti").join(dropped, ["block", "u"], "left_anti")
+        new = stage(left.join(dropped.withColumnRenamed("u", "v"), ["block", "v"], "left_anti").select("block", "u", "v"), "dedup-links")
+        free(links)
+        links = new
+    return None if gone is None else gone.select(F.col("u").alias("row_no"))
 
 
-def near_dedup(rows: DataFrame, threshold: float = 0.88, most_rounds: int | None = None) -> DataFrame:
+def near_dedup(rows: DataFrame, threshold: float = 0.88, most_rounds: int | None = None, block_links: int = BLOCK_LINKS) -> DataFrame:
     """Greedy removal of near-duplicates within each id, in the order of the candidate index (equal ones: of ``row_no``).
 
     A row goes if its normalised text equals a kept one's, or if its equations are the same and not
     empty and its tokens at least ``threshold`` similar to a kept one's.  Adds ``dedup_group``, the
-    rank of the kept row.  The greedy choice is made in rounds over the links of similar rows: a
-    row without an earlier undecided neighbour is kept and its later neighbours go, so rows of one
-    id needn't meet in one task.  Rounds go on until no link is left; ``most_rounds`` raises beyond.
+    rank of the kept row, and ``normalized_similarity``, which is 0 for every kept row.  The choice
+    is made over the links of similar rows: by one task for each id and equations with up to
+    ``block_links`` of them, in rounds over tables for larger ones, with the same result.
+    Rows are told apart by ``row_no``, which must be unique.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    forms = rows.withColumn("index", index_of()).withColumn("norm", T.normalize_solution(F.col("solution")))
+    forms = rows.select("id", "candidate_index", "row_no", "solution").withColumn("index", index_of()).withColumn("norm", T.normalize_solution(F.col("solution"))).drop("solution")
     # Of equal texts only the first can be kept, and what removes it removes the others.
     forms = keyed.first_by(forms.where(F.col("index").isNotNull()), ["id", "norm"], F.struct("index", "row_no"))
-    forms = stage(forms.withColumn("equations", T.equations(F.col("norm"))).withColumn("tokens", T.tokens(F.col("norm"))), "dedup-forms")
+    forms = stage(forms.withColumn("equations", T.equations(F.col("norm"))).withColumn("tokens", T.tokens(F.col("norm"))).drop("norm", "candidate_index"), "dedup-forms")
     links = stage(_earlier_links(forms.where("equations != ''"), threshold), "dedup-links")
-    gone = None
-    done = 0
-    while links.limit(1).count():
-        if done == most_rounds:
-            raise RuntimeError(f"near-duplicates are left after {done} rounds")
-        done += 1
-        behind = links.select("id", F.col("v").alias("u")).distinct()
-        kept = links.select("id", "u").distinct().join(behind, ["id", "u"], "left_anti")
-        dropped = stage(links.join(kept, ["id", "u"], "left_semi").select("id", F.col("v").alias("u")).distinct(), "dedup-gone")
-        gone = dropped if gone is None else gone.unionByName(dropped)
-        if done % 16 == 0:
-            gone = stage(gone, "dedup-gone")
-        left = links.join(kept, ["id", "u"], "left_anti").join(dropped, ["id", "u"], "left_anti")
-        links = stage(left.join(dropped.withColumnRenamed("u", "v"), ["id", "v"], "left_anti").select("id", "u", "v"), "dedup-links")
-    if gone is not None:
-        forms = forms.join(gone.withColumnRenamed("u", "row_no"), ["id", "row_no"], "left_anti")
-    return keyed.ordinal(forms, "id", "index", "dedup_group", ties="row_no").select(*rows.columns, "dedup_group")
+    large = links.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > block_links).select("block")
+    large = stage(large, "dedup-large")
+    gone = _settled_at_once(links.join(large, "block", "left_anti"))
+    if large.limit(1).count() and (more := _settled_in_rounds(links.join(large, "block", "left_semi"), most_rounds)) is not None:
+        gone = gone.unionByName(more)
+    kept = forms.select("id", "index", "row_no").join(gone, "row_no", "left_anti")
+    ranked = keyed.ordinal(kept, "id", "index", "dedup_group", ties="row_no").select("row_no", "dedup_group")
+    return rows.join(ranked, "row_no").select(*rows.columns, "dedup_group", F.lit("0.000000").alias("normalized_similarity"))
 
 
 def independent(cand: DataFrame, judged: DataFrame) -> DataFrame:
@@ -164,15 +199,31 @@ def verdict_counts(judged: DataFrame) -> DataFrame:
 
 
 def profile(src: DataFrame, reconciled: DataFrame, unique: DataFrame, solved: DataFrame, judged: DataFrame, checks: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row per problem with what is known of it; every other table is aggregated before the join."""
-    count = lambda df, name: df.groupBy("id").agg(F.count("*").alias(name))
-    own = solved.select("id", F.col("parsed_answer").alias("own_answer"), F.col("parser_method").alias("own_method"), F.col("finish_status").alias("own_finish"))
-    out = src.where("valid").select("id", "question", F.col("answer").alias("label_answer"), "row_no")
-    parts = [count(reconciled, "reconciled_candidates"), count(unique, "unique_matching_candidates"), own, verdict_counts(judged), count(checks.where("status = 'FAIL'"), "sympy_fail"), issues.select("id", "issue")]
-    for part in parts:
-        out = out.join(part, "id", "left")
+    """One row per problem with what is known of it.
+
+    All tables are put under each other as (id, numbers) and summed by one aggregation, whose tasks
+    send one row an id however many candidates it has; only that is joined with the problems.
+    """
     numbers = ["reconciled_candidates", "unique_matching_candidates", "passes", "fails", "unsure", "judged", "sympy_fail"]
-    return out.fillna(0, subset=numbers).withColumn("usable", F.greatest(F.lit(0), F.col("passes") - F.col("sympy_fail")))
+    own = F.struct(F.col("parsed_answer").alias("own_answer"), F.col("parser_method").alias("own_method"), F.col("finish_status").alias("own_finish"))
+    none = {**dict.fromkeys(numbers, F.lit(0)), "own": F.lit(None).cast("struct<own_answer:string,own_method:string,own_finish:string>"), "issue": F.lit(None).cast("string")}
+
+    def rows(df: DataFrame, **known: Column) -> DataFrame:
+        return df.select("id", *((known.get(n, c)).alias(n) for n, c in none.items()))
+
+    v = usable_verdict()
+    parts = [
+        rows(reconciled, reconciled_candidates=F.lit(1)), rows(unique, unique_matching_candidates=F.lit(1)), rows(solved, own=own), rows(issues, issue=F.col("issue")),
+        rows(judged, judged=F.lit(1), passes=(v == "PASS").cast("int"), fails=(v == "FAIL").cast("int"), unsure=(v == "UNCERTAIN").cast("int")),
+        rows(checks, sympy_fail=(F.col("status") == "FAIL").cast("int")),
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    # An id has one independent solution and one issue at most.
+    known = every.groupBy("id").agg(*(F.sum(n).alias(n) for n in numbers), F.max("own").alias("own"), F.max("issue").alias("issue"))
+    out = src.where("valid").select("id", "question", F.col("answer").alias("label_answer"), "row_no").join(known, "id", "left")
+    return out.select("id", "question", "label_answer", "row_no", *(F.coalesce(n, F.lit(0)).alias(n) for n in numbers), "own.*", "issue").withColumn("usable", F.greatest(F.lit(0), F.col("passes") - F.col("sympy_fail")))
 
 
 LABEL_REASONS = ("INDEPENDENT_LABEL_DISAGREEMENT", "INDEPENDENT_PARSE_FAILURE", "QUESTION_CHANGED_REGENERATE")
@@ -213,11 +264,14 @@ def rejudge_queue(profiled: DataFrame) -> DataFrame:
 
 def gate_v2(judged: DataFrame, unique: DataFrame, solved: DataFrame, src: DataFrame, checks: DataFrame, queue: DataFrame, least: int = 80, most: int = 5000) -> DataFrame:
     """Judgments with their candidate and ``reason``: why it is rejected, null if it is accepted."""
-    own = solved.select("id", F.col("parsed_answer").alias("own_answer"), F.col("independent_sha256").alias("own_sha"))
-    label = src.where("valid").select("id", F.col("answer").alias("label"), F.col("question").alias("asked"))
-    status = keyed.last_by(checks.select(*KEY, "status", "row_no"), KEY).select(*KEY, "status")
+    own = solved.select("id", F.col("parsed_answer").alias("own_answer"), F.col("independent_sha256").alias("own_sha"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("boolean").alias("queued"))
+    label = src.where("valid").select("id", F.lit(None).alias("own_answer"), F.lit(None).alias("own_sha"), F.col("answer").alias("label"), F.lit(None).alias("queued"))
+    listed = queue.select("id", F.lit(None).alias("own_answer"), F.lit(None).alias("own_sha"), F.lit(None).alias("label"), F.lit(True).alias("queued"))
+    # What is known of an id has one row in each table: one aggregation instead of three joins.
+    of_id = own.unionByName(label).unionByName(listed).groupBy("id").agg(*(F.max(c).alias(c) for c in own.columns[1:]))
+    status = checks.groupBy(*KEY).agg(F.max_by("status", "row_no").alias("status"))
     found = unique.select(*KEY, "solution", F.lit(True).alias("found"))
-    joined = judged.join(found, KEY, "left").join(queue.select("id", F.lit(True).alias("queued")), "id", "left").join(own, "id", "left").join(label, "id", "left").join(status, KEY, "left")
+    joined = judged.join(found, KEY, "left").join(status, KEY, "left").join(of_id, "id", "left")
     size = F.length(T.strip(F.col("solution")))
     rules = [
         ("missing_candidate", F.col("found").isNull()),

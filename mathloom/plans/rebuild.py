@@ -29,6 +29,12 @@ class Rebuild:
     def candidates(self) -> DataFrame:
         return curation.candidates(self.table("solution_candidates"))
 
+    def whole(self) -> Rebuild:
+        """This rebuild with its candidates staged, for plans that read them several times."""
+        if "staged_" not in self.__dict__:
+            self.staged_ = self.candidates = stage(self.candidates, "candidates")
+        return self
+
     @cached_property
     def _reconciled(self) -> tuple[DataFrame, DataFrame]:
         return curation.reconcile(self.candidates, self.source)
@@ -71,6 +77,7 @@ class Rebuild:
 
     @cached_property
     def profiled(self) -> DataFrame:
+        self.whole()
         return curation.profile(self.source, self.reconciled, self.unique, self.independent, self.judged, self.checks, self.issues)
 
     @cached_property

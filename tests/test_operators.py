@@ -92,9 +92,10 @@ def test_near_dedup_equals_the_plain_greedy_choice(spark):
     forms = df.where(curation.index_of().isNotNull()).withColumn("n", T.normalize_solution(F.col("solution")))
     plain = [(r.id, int(r.candidate_index), r.row_no, r.n, r.e, set(r.t)) for r in forms.withColumn("e", T.equations(F.col("n"))).withColumn("t", T.tokens(F.col("n"))).collect()]
     for threshold in (0.6, 0.88):
-        got = {r.row_no: r.dedup_group for r in curation.near_dedup(df, threshold).collect()}
-        assert got == greedy(plain, threshold)
-    again = curation.near_dedup(curation.near_dedup(df).drop("dedup_group"))
+        for block_links in (500_000, 3, 0):
+            got = {r.row_no: r.dedup_group for r in curation.near_dedup(df, threshold, block_links=block_links).collect()}
+            assert got == greedy(plain, threshold)
+    again = curation.near_dedup(curation.near_dedup(df).drop("dedup_group", "normalized_similarity"))
     assert again.count() == curation.near_dedup(df).count()
     with pytest.raises(ValueError):
         curation.near_dedup(df, 0)
@@ -110,7 +111,18 @@ def test_near_dedup_raises_rather_than_keep_undecided_rows(spark):
     df = spark.createDataFrame(rows, "id string, candidate_index string, solution string, row_no long")
     assert {r.row_no for r in curation.near_dedup(df).collect()} == {0, 2, 4, 6, 8}
     with pytest.raises(RuntimeError):
-        curation.near_dedup(df, most_rounds=2)
+        curation.near_dedup(df, most_rounds=2, block_links=0)
+    assert {r.row_no for r in curation.near_dedup(df, block_links=0).collect()} == {0, 2, 4, 6, 8}
+
+
+def test_long_chains_are_decided_to_the_end(spark):
+    """1,000 candidates, each similar only to the one before: every other one is kept."""
+    words, rows = [f"w{i}" for i in range(24)], []
+    for i in range(1000):
+        words[2 * i % 24] = f"v{i}"
+        rows.append(("hot", str(i), " ".join(words) + ". x = 1 + 2", i))
+    df = spark.createDataFrame(rows, "id string, candidate_index string, solution string, row_no long")
+    assert {r.row_no for r in curation.near_dedup(df).collect()} == set(range(0, 1000, 2))
 
 
 PROFILES = [
