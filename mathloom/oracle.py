@@ -3,9 +3,27 @@
 from __future__ import annotations
 
 from mathloom.functions import chat
-from mathloom.functions import text as T
 
-_SPAN = rf"^{T.WS}+|{T.WS}+$"
+# The patterns are written out here, for the SQL engine's own dialect, and not taken from the
+# engine: an error in either shows as a difference.  Fixed values.
+_BLANK = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_INTEGER = r"([-+]?\d[\d,]*(?:\.0+)?)"
+_LABEL = rf"(?im)^{_BLANK}*final{_BLANK}+answer{_BLANK}*:"
+_FINAL = rf"{_LABEL}{_BLANK}*\$?{_BLANK}*{_INTEGER}{_BLANK}*\$?{_BLANK}*[!.]?{_BLANK}*$"
+_BOX = rf"\\boxed{_BLANK}*\{{{_BLANK}*{_INTEGER}{_BLANK}*\}}"
+_CUE = r"\\(?:cdot|times|sqrt|frac)|[*/+=^]"
+_TOKEN = r"[0-9a-z\x{AC00}-\x{D7A3}]+|[-*/+=^]"
+_OTHER = r"[^-0-9a-z\x{AC00}-\x{D7A3}*/+=^().]+"
+_SPAN = rf"^{_BLANK}+|{_BLANK}+$"
+#: Full case folding of characters that lower-casing leaves, as far as tables of text have them.
+_FOLDED = [("ß", "ss"), ("ς", "σ"), ("ſ", "s"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("µ", "μ"), ("ŉ", "ʼn"), ("ϐ", "β"), ("ϑ", "θ"), ("ϕ", "φ"), ("ϖ", "π"), ("ϰ", "κ"), ("ϱ", "ρ"), ("ϵ", "ε")]
+
+
+def _fold(x: str) -> str:
+    out = f"lower({x})"
+    for a, b in _FOLDED:
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
 
 
 def _strip(x: str) -> str:
@@ -22,30 +40,27 @@ def _all(x: str, pattern: str, group: int = 0) -> str:
     return f"regexp_extract_all({x}, '{pattern}', {group})"
 
 
-_FINAL = f"(?im){T.FINAL_ANSWER}"
-
-
 def _method(x: str) -> str:
-    return f"CASE WHEN len({_all(x, _FINAL, 1)}) > 0 THEN 'final_answer' WHEN len({_all(x, T.BOXED, 1)}) > 0 THEN 'boxed' ELSE 'none' END"
+    return f"CASE WHEN len({_all(x, _FINAL, 1)}) > 0 THEN 'final_answer' WHEN len({_all(x, _BOX, 1)}) > 0 THEN 'boxed' ELSE 'none' END"
 
 
 def _value(x: str) -> str:
-    pick = f"CASE WHEN len({_all(x, _FINAL, 1)}) > 0 THEN {_all(x, _FINAL, 1)}[-1] ELSE {_all(x, T.BOXED, 1)}[-1] END"
+    pick = f"CASE WHEN len({_all(x, _FINAL, 1)}) > 0 THEN {_all(x, _FINAL, 1)}[-1] ELSE {_all(x, _BOX, 1)}[-1] END"
     return f"coalesce({_integer(f'({pick})')}, '')"
 
 
 def _collapse(x: str) -> str:
-    return f"lower({_strip(f"regexp_replace({x}, '{T.WS}+', ' ', 'g')")})"
+    return _fold(_strip(f"regexp_replace({x}, '{_BLANK}+', ' ', 'g')"))
 
 
 def _norm(x: str) -> str:
-    body = f"lower(regexp_replace({x}, '(?im){T.FINAL_LABEL}[^\\n]*$', '', 'g'))"
+    body = _fold(f"regexp_replace({x}, '{_LABEL}[^\\n]*$', '', 'g')")
     body = f"replace(replace({body}, '\\cdot', '*'), '\\times', '*')"
-    return f"trim(regexp_replace(regexp_replace({body}, '{T.WS}+', ' ', 'g'), '{T.KEPT}', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace({body}, '{_BLANK}+', ' ', 'g'), '{_OTHER}', ' ', 'g'))"
 
 
 def _tokens(x: str) -> str:
-    return f"list_distinct({_all(x, T.TOKENS)})"
+    return f"list_distinct({_all(x, _TOKEN)})"
 
 
 def _equations(x: str) -> str:
@@ -58,11 +73,11 @@ def _jaccard(a: str, b: str) -> str:
 
 
 def _cues(x: str) -> str:
-    return f"len({_all(f"string_split_regex({_strip(x)}, '(?im){T.FINAL_LABEL}')[1]", T.CUES)})"
+    return f"len({_all(f"string_split_regex({_strip(x)}, '{_LABEL}')[1]", _CUE)})"
 
 
 def _fit(x: str) -> str:
-    return f"greatest(0, {T.LENGTH_SPAN} - abs(length({_strip(x)}) - {T.LENGTH_AIM}))"
+    return f"greatest(0, 1500 - abs(length({_strip(x)}) - 700))"
 
 
 def _first(rules: list[tuple[str, str]]) -> str:
@@ -73,10 +88,10 @@ _CHEAP = [("answer_mismatch", "NOT answer_match"), ("missing_final_marker", "par
 _TEXT = [
     *_CHEAP,
     ("too_short", f"length({_strip('solution')}) < 80"), ("too_long", f"length({_strip('solution')}) > 5000"),
-    ("multiple_final_markers", f"len({_all('solution', f'(?im){T.FINAL_LABEL}')}) <> 1"),
+    ("multiple_final_markers", f"len({_all('solution', f'{_LABEL}')}) <> 1"),
 ]
 _INDEX = "try_cast(trim(candidate_index) AS BIGINT)"
-_BY_SCORE = f"least({_cues('solution')}, {T.CUE_CAP}) DESC, {_fit('solution')} DESC, {_INDEX}, row_no"
+_BY_SCORE = f"least({_cues('solution')}, 20) DESC, {_fit('solution')} DESC, {_INDEX}, row_no"
 _DONE_FIRST = f"finish_status = 'eos' DESC, {_BY_SCORE}"
 
 
@@ -193,7 +208,7 @@ _QUERIES = {
     "solution_sha256": _scalar("sha256(solution)"),
     "equation_cues": _scalar(_cues("solution")),
     "length_score": _scalar(_fit("solution")),
-    "count_final_markers": _scalar(f"len({_all('solution', f'(?im){T.FINAL_LABEL}')})"),
+    "count_final_markers": _scalar(f"len({_all('solution', f'{_LABEL}')})"),
     "jaccard": f"SELECT row_no, round({_jaccard('a', 'b')}, 6) AS similarity FROM (SELECT row_no, {_tokens(_norm('solution'))} AS a, {_tokens(_norm('question'))} AS b FROM cand)",
     "scan_math_csv": "SELECT id, question, answer FROM src",
     "scan_candidates_checked": "SELECT row_no, id, candidate_index, question, answer, solution, parsed_answer, parser_method, answer_match, finish_status FROM solution_candidates",
