@@ -1,11 +1,13 @@
 """Consensus of annotators who disagree (problem 2).
 
-Confidence-aware truth discovery.  Two steps alternate: the consensus of each item minimises the
-weighted distance to its labels, and each annotator's error variance is estimated from the
-distance of their labels to the consensus.  Instead of the plain estimate the bound of its
-chi-squared confidence interval nearer to chance is used, so that an annotator of few labels has
-little weight either way.  Variances are kept for the two true labels apart, and may exceed a half:
-the labels of an annotator worse than chance then count for the opposite.
+Confidence-aware truth discovery.  Two steps alternate: the consensus of each item is the label of
+the smallest weighted distance to the item's labels, and each annotator's error variance is
+estimated from the distance of their labels to the consensus.  Not the plain estimate counts but the
+upper bound of its chi-squared confidence interval, so that an annotator of the long tail, with few
+labels, has little weight.  Variances are kept for the two true labels apart.  An annotator worse
+than chance is read reversed, with the upper bound of the reversed labels' variance.  The weight of
+a label is the logarithm of how much likelier these variances make it under the one consensus than
+under the other; the label all items have most often weighs as one more label of each item.
 
 Items labelled alike by the same annotators form one pattern; the steps run over patterns.
 """
@@ -37,12 +39,13 @@ def chi_squared(n: Column, z: float) -> Column:
 
 
 def error_bound(errors: Column, n: Column) -> Column:
-    """Error variance at the end of its confidence interval nearer to chance, within (0, 1)."""
-    e, m = errors + F.lit(0.5), n + F.lit(1.0)
-    point, upper, lower = e / m, e / chi_squared(m, -Z), e / chi_squared(m, Z)
-    half = F.lit(0.5)
-    bound = F.when(point < half, F.least(upper, half)).otherwise(F.greatest(F.least(lower, point), half))
-    return F.least(F.greatest(bound, F.lit(1e-4)), F.lit(1 - 1e-4))
+    """Upper bound of the error variance, at most a half, within (0, 1).
+
+    Of more errors than not, 1 less the upper bound of the reversed labels'.
+    """
+    least, half = F.lit(1e-4), F.lit(0.5)
+    upper = lambda e: F.greatest(F.least((e + half) / chi_squared(n + F.lit(1.0), -Z), half), least)
+    return F.when(errors > n / 2, 1 - upper(n - errors)).otherwise(upper(errors))
 
 
 def _weights(stats: DataFrame) -> DataFrame:
@@ -61,17 +64,15 @@ def _local(spark: SparkSession, rows: list) -> DataFrame:
     return spark.createDataFrame(frame)
 
 
-def _prior(stats: DataFrame) -> float:
+def _prior(fail: float | None, good: float | None) -> float:
     """Log odds of FAIL over all votes."""
-    fail, good = stats.agg(F.sum("n_fail"), F.sum("n_pass")).first()
-    return math.log((fail + 1) / (good + 1)) if fail is not None else 0.0
+    return math.log((fail + 1) / (good + 1)) if fail is not None and good is not None else 0.0
 
 
-def _moved(old: DataFrame, new: DataFrame) -> float:
-    """Largest change of an annotator's errors, as a share of their votes."""
+def _same(old: DataFrame, new: DataFrame) -> bool:
+    """Whether no annotator's errors have changed; they are whole numbers."""
     both = new.alias("x").join(old.alias("y"), "judge")
-    change = F.greatest(F.abs(F.col("x.miss") - F.col("y.miss")), F.abs(F.col("x.alarm") - F.col("y.alarm"))) / F.col("x.votes")
-    return both.agg(F.max(change)).first()[0] or 0.0
+    return both.where((F.col("x.miss") != F.col("y.miss")) | (F.col("x.alarm") != F.col("y.alarm"))).limit(1).count() == 0
 
 
 def votes(parts: list[DataFrame]) -> DataFrame:
@@ -95,13 +96,15 @@ def votes(parts: list[DataFrame]) -> DataFrame:
     return last.select("item_a", "item_b", "judge", F.col("last.fail").alias("fail")).where(F.col("fail").isNotNull())
 
 
-def discover(cast: DataFrame, most_steps: int = 60, tolerance: float = 1e-5, driver_annotators: int = DRIVER_ANNOTATORS) -> tuple[DataFrame, DataFrame]:
+def discover(cast: DataFrame, most_steps: int = 200, driver_annotators: int = DRIVER_ANNOTATORS) -> tuple[DataFrame, DataFrame]:
     """(consensus per item, reliability per annotator) of votes (item_a, item_b, judge, fail).
 
-    Items: ``fail_weight`` (log odds of FAIL), ``consensus`` (FAIL if they are above 0, otherwise
-    PASS, ties included), ``agreement`` (share of the item's votes equal to the consensus) and
-    ``votes``.  Annotators: ``votes``, ``error_fail`` and ``error_pass`` (bounds of their error
-    variance on items whose consensus is FAIL and PASS).  An empty table gives empty results.
+    Items: ``fail_weight`` (weighted distance to PASS less that to FAIL), ``consensus`` (FAIL if it
+    is above 0, otherwise PASS, ties included), ``agreement`` (share of the item's votes equal to the
+    consensus) and ``votes``.  Annotators: ``votes``, ``error_fail`` and ``error_pass`` (bounds of
+    their error variance on items whose consensus is FAIL and PASS).  The steps alternate until no
+    consensus changes, or until they come back to an earlier state; more than ``most_steps`` raise.
+    An empty table gives empty results.
     """
     spark = cast.sparkSession
     cast = stage(cast, "votes")
@@ -122,29 +125,36 @@ def discover(cast: DataFrame, most_steps: int = 60, tolerance: float = 1e-5, dri
         )
         return out
 
-    def keep(stats: DataFrame, few: bool) -> DataFrame:
-        # Cuts the lineage of a step: few annotators as rows of the driver, many as a table.
-        return _local(spark, stats.collect()) if few else stage(stats, "annotators")
-
     def step(stats: DataFrame, prior: float) -> DataFrame:
         weights = _weights(stats)
         value = F.when(F.col("fail"), F.col("if_fail")).otherwise(F.col("if_pass"))
         score = F.sum(value).over(Window.partitionBy("h1", "h2")) + F.lit(prior)
-        odds = F.least(F.greatest(score, F.lit(-500.0)), F.lit(500.0))
         joined = lines.join(F.broadcast(weights) if few else weights, "judge")
-        return statistics(joined.withColumn("q", F.lit(1.0) / (1 + F.exp(-odds))))
+        return statistics(joined.withColumn("q", (score > 0).cast("double")))
 
     few = cast.select("judge").distinct().limit(driver_annotators + 1).count() <= driver_annotators
-    stats = keep(statistics(lines.withColumn("q", F.col("share"))), few)
+
+    def cut(stats: DataFrame) -> tuple[DataFrame, float, tuple]:
+        # Cuts the lineage of a step: few annotators as rows of the driver, many as a table.
+        if not few:
+            stats = stage(stats, "annotators")
+            return stats, _prior(*stats.agg(F.sum("n_fail"), F.sum("n_pass")).first()), ()
+        rows = stats.orderBy("judge").collect()
+        return _local(spark, rows), _prior(sum(r.n_fail for r in rows), sum(r.n_pass for r in rows)), tuple((r.judge, r.miss, r.alarm) for r in rows)
+
+    stats, prior, state = cut(statistics(lines.withColumn("q", (F.col("share") > 0.5).cast("double"))))
+    seen = {state}
     for _ in range(most_steps):
-        new = keep(step(stats, _prior(stats)), few)
-        moved = _moved(stats, new)
+        new, prior, state = cut(step(stats, prior))
+        done = state in seen if few else _same(stats, new)
         stats = new
-        if moved < tolerance:
+        seen.add(state)
+        if done:
             break
+    else:
+        raise RuntimeError(f"the consensus still changes after {most_steps} steps")
     weights = _weights(stats)
     value = F.when(F.col("fail"), F.col("if_fail")).otherwise(F.col("if_pass"))
-    prior = _prior(stats)
     scores = lines.join(F.broadcast(weights) if few else weights, "judge").groupBy("h1", "h2").agg((F.sum(value) + F.lit(prior)).alias("fail_weight"))
     fail = F.col("fail_weight") > 0
     found = items.join(scores, ["h1", "h2"]).select(

@@ -27,7 +27,7 @@ def test_recovers_planted_labels_and_skills(spark):
     error = {r.judge: (r.error_fail, r.error_pass) for r in judges.collect()}
     assert error["liar"][0] > 0.5 and error["liar"][1] > 0.5 and error["good"][0] < 0.15 and error["blind"][0] > 0.45
     # Long-tail annotators of one label each, held as a table and not by the driver.
-    items, judges = consensus.discover(consensus.votes([df]), most_steps=3, driver_annotators=3)
+    items, judges = consensus.discover(consensus.votes([df]), driver_annotators=3)
     assert items.count() == len(truth) and judges.count() == len(SKILL) + 1500
 
 
@@ -42,3 +42,14 @@ def test_latest_vote_counts_and_unusual_rows(spark):
     assert sorted((r.item_a, r.fail) for r in cast.collect()) == [("a", False), ("c", True)]
     items, judges = consensus.discover(cast.limit(0))
     assert items.collect() == [] and judges.collect() == []
+
+
+def test_changing_consensus_raises_rather_than_end(spark):
+    import pytest
+
+    rng = random.Random(8)
+    rows = [(str(i), "0", j, rng.choice(["PASS", "FAIL"]), True, datetime(2026, 1, 2), 10 * i + k) for i in range(200) for k, j in enumerate("abcd")]
+    cast = consensus.votes([spark.createDataFrame(rows, COLUMNS)])
+    with pytest.raises(RuntimeError):
+        consensus.discover(cast, most_steps=0)
+    assert consensus.discover(cast)[0].count() == 200
