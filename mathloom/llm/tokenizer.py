@@ -1,15 +1,15 @@
 """Encode a corpus with a public byte-level BPE vocabulary (problem 7).
 
-The merge list is compiled, merge by merge, into a deterministic automaton over tokens.  Every
-token leads to one state whatever precedes it, so the automaton is one state number per token.
-Applying the gadget of a merge (a, b): the state after ``a`` is split off without its ``b``
-transition, because ``a`` followed by ``b`` is from now on the new token; the new token starts
-wherever ``a`` did and ends in the state ``b`` led to.  A state is stored as its parent plus the
-one transition it lost, and the transitions gained by later merges follow from the first part of
-the merged token, so the construction is linear in the merges.
-
-A word has exactly one token path through the automaton; each prefix of the word ends in exactly
-one state, so the path is found by table look-ups from left to right.
+The merge list is compiled, merge by merge, into a deterministic automaton over tokens.  The state
+a word is in depends on the token before alone: applying the gadget of a merge (a, b), the state
+after ``a`` loses its transition for ``b``, because ``a`` followed by ``b`` is from now on the new
+token; the new token starts wherever ``a`` did and ends in the state ``b`` led to at that time.  A
+token's state is kept as the transitions it lost by merges of its own and a reference to the state
+of its last part when it was made, so that a merge adds one entry and copies nothing.
+
+The tokens' bytes are compiled into a table of transitions from node and byte to node.  A word has
+exactly one token path through the automaton, and each of its prefixes ends in at most one state:
+the path is found from left to right by look-ups in that table, its arcs' labels are the ids.
 """
 
 from __future__ import annotations
@@ -46,69 +46,91 @@ class MergeAutomaton:
     """
 
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
-        self.ids = vocabulary
-        self.longest = max(map(len, vocabulary), default=1)
-        #: State reached after a token, by token id.
-        self.after: dict[int, int] = {}
-        #: Of a state: the tokens lost on its way from the start state, and the merge that took them.
-        self.lost: list[dict[int, int]] = [{}]
-        #: Of a token: the first parts it grew from, each with the merge that made the next.
+        #: Of a token: the transitions its state lost by merges of its own, and the merges' ranks.
+        self.lost: dict[int, dict[int, int]] = {}
+        #: Of a merged token: its last part, and the rank up to which that one's losses are its own.
+        self.last: dict[int, tuple[int, int]] = {}
+        #: Of a token: the first parts it grew from, each with the rank of the merge that made the next.
         self.spine: dict[int, tuple[tuple[int, int], ...]] = {}
-        never = len(merges) + 1
+        self.never = len(merges) + 1
+        self.known: dict[tuple[int, int], bool] = {}
         for b in range(256):
             t = vocabulary.get(bytes([b]))
             if t is not None:
-                self.after[t] = 0
-                self.spine[t] = ((t, never),)
+                self.lost[t] = {}
+                self.spine[t] = ((t, self.never),)
         for rank, (left, right) in enumerate(merges):
-            self._merge(rank, vocabulary[left], vocabulary[right], vocabulary[left + right], never)
-        self.ids = {b: t for b, t in vocabulary.items() if t in self.after}
-
-    def _merge(self, rank: int, a: int, b: int, made: int, never: int) -> None:
-        state = self.after.get(a)
-        if state is None or b not in self.after or not self.follows(state, b):
+            self._merge(rank, vocabulary[left], vocabulary[right], vocabulary[left + right])
+        self.labels = {t: b for b, t in vocabulary.items() if t in self.lost}
+        self.nodes: dict[int, int] = {}
+        self.token: list[int] = [-1]
+        for t, word in self.labels.items():
+            node = 0
+            for byte in word:
+                step = node << 8 | byte
+                node = self.nodes.get(step, -1)
+                if node < 0:
+                    node = self.nodes[step] = len(self.token)
+                    self.token.append(-1)
+            self.token[node] = t
+
+    def _merge(self, rank: int, a: int, b: int, made: int) -> None:
+        if a not in self.lost or b not in self.lost or not self._transition(a, b):
             return  # the pair never stands side by side, so the token is never made
-        ends = self.after[b]
-        self.lost.append({**self.lost[state], b: rank})
-        self.after[a] = len(self.lost) - 1
-        self.after[made] = ends
-        first = self.spine[a]
-        self.spine[made] = (*first[:-1], (a, rank), (made, never))
-
-    def follows(self, state: int, token: int) -> bool:
-        """Whether the state has a transition for the token.
-
-        A token's transition is missing if it was lost itself, or if one of the first parts it
-        grew from was lost no later than the merge that made the next part.
+        self.last[made] = (b, rank - 1)
+        self.lost[made] = {}
+        self.spine[made] = (*self.spine[a][:-1], (a, rank), (made, self.never))
+        self.lost[a][b] = rank
+
+    def _when_lost(self, token: int, part: int) -> int:
+        """Rank of the merge by which the state after ``token`` lost ``part``."""
+        until = self.never
+        while True:
+            when = self.lost[token].get(part, self.never)
+            if when <= until and when < self.never:
+                return when
+            if token not in self.last:
+                return self.never
+            token, until = self.last[token]
+
+    def _transition(self, before: int, token: int) -> bool:
+        """Whether the state after ``before`` has a transition for the token.
+
+        It is missing if it was lost itself, or if one of the first parts it grew from was lost no
+        later than the merge that made the next part.
         """
-        lost = self.lost[state]
-        if lost:
-            for part, grown in self.spine[token]:
-                when = lost.get(part)
-                if when is not None and when <= grown:
-                    return False
+        for part, grown in self.spine[token]:
+            when = self._when_lost(before, part)
+            if when < self.never and when <= grown:
+                return False
         return True
 
+    def follows(self, before: int, token: int) -> bool:
+        key = before, token
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) >= _CACHED_WORDS:
+                self.known.clear()
+            found = self.known[key] = self._transition(before, token)
+        return found
+
     def encode(self, word: bytes) -> list[int]:
-        """Ids of the word's one token path, the arcs' labels read back from its end."""
-        whole = self.ids.get(word)
+        """Ids of the word's one token path, read back from its end."""
         n = len(word)
-        if whole is not None and (n == 1 or self.follows(0, whole)):
-            return [whole]
-        ids, after, follows, longest = self.ids, self.after, self.follows, self.longest
-        state = [-1] * (n + 1)
-        label = [0] * (n + 1)
-        came = [0] * (n + 1)
-        state[0] = 0
+        label, came = [-1] * (n + 1), [0] * (n + 1)
+        nodes, tokens, follows = self.nodes, self.token, self.follows
         for i in range(n):
-            here = state[i]
-            if here < 0:
+            before = label[i]
+            if i and before < 0:
                 continue
-            for j in range(i + 1, min(n, i + longest) + 1):
-                if state[j] < 0:
-                    t = ids.get(word[i:j])
-                    if t is not None and follows(here, t):
-                        state[j], label[j], came[j] = after[t], t, i
+            node = 0
+            for j in range(i, n):
+                node = nodes.get(node << 8 | word[j], -1)
+                if node < 0:
+                    break
+                t = tokens[node]
+                if t >= 0 and label[j + 1] < 0 and (not i or follows(before, t)):
+                    label[j + 1], came[j + 1] = t, i
         out = []
         while n:
             out.append(label[n])
@@ -183,6 +205,4 @@ def encode_corpus(df: DataFrame, vocabulary_path: str, text: str = "text", key:
 def decode(ids: list[int], vocabulary_path: str) -> str:
     """Text whose encoding the ids are: the arcs' labels joined."""
     automaton = load(vocabulary_path)
-    if not hasattr(automaton, "labels"):
-        automaton.labels = {i: b for b, i in automaton.ids.items()}
     return b"".join(automaton.labels[i] for i in ids).decode("utf-8", "replace")
