@@ -57,6 +57,6 @@ def test_groups_equal_brute_force(spark):
 
 
 def test_exact_comparison_tells_what_hashes_would_not():
-    a = format_dup.Canonical(["ab c", "a: 1\nb: 2", "xy", "", None])
-    b = format_dup.Canonical(["A-b c".replace("-", ""), "b 2"[:0] + "B: 2\nA: 1", "xz", "", ""])
+    a = format_dup.Folded(["ab c", "a: 1\nb: 2", "xy", "", None])
+    b = format_dup.Folded(["A-b c".replace("-", ""), "b 2"[:0] + "B: 2\nA: 1", "xz", "", ""])
     assert a.same(b).tolist() == [True, True, False, True, True]
