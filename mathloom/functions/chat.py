@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,25 @@ INDEPENDENT = (
     "and end with exactly one line 'Final answer: <integer>'."
 )
 
+VERIFIER = (
+    "You are a strict verifier of mathematical training solutions. An independent solution "
+    "was produced before seeing the candidates. Check each candidate for interpretation errors, "
+    "unsupported steps, arithmetic errors, circular use of the reference answer, and whether its "
+    "final integer follows from its work. Return exactly one JSON object with key 'judgments'. "
+    "Each item must contain candidate_index, verdict (PASS, FAIL, or UNCERTAIN), failure_type "
+    "(NONE, INTERPRETATION, REASONING, CALCULATION, FINAL_ANSWER, INCOMPLETE, or OTHER), and a "
+    "short plain-text reason. Do not omit any candidate."
+)
+#: What a reasoning model's answer is begun with, after its own template.
+OPENING = "<think>\n"
+
+# Fixed values too: the labels in the prompts below.
+
+
+def opened(user: Column, template: Callable[[Column], Column] | None = None) -> Column:
+    """A user turn in the model's template (the bare text unless given), its answer begun."""
+    return F.concat(template(user) if template else user, F.lit(OPENING))
+
 
 def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
@@ -50,10 +71,10 @@ def training_example(system: str, question: Column, completion: Column) -> Colum
 
 
 def bundle(question: Column, answer: Column, independent: Column, candidates: Column) -> Column:
-    """One text for all candidates of a question; ``candidates``: sorted array of (index, solution)."""
+    """The one user turn about all candidates of a question; ``candidates``: sorted array of (index, solution)."""
     blocks = F.transform(candidates, lambda x: F.concat(F.lit("[Candidate "), x["index"], F.lit("]\n"), x["solution"]))
     return F.concat(
-        F.lit("Problem:\n"), question, F.lit("\n\nReference integer label:\n"), answer,
+        F.lit(VERIFIER), F.lit("\n\nProblem:\n"), question, F.lit("\n\nReference integer label:\n"), answer,
         F.lit("\n\nIndependent solution (created without the label or candidates):\n"), independent,
         F.lit("\n\nCandidates:\n"), F.array_join(blocks, "\n\n"),
     )

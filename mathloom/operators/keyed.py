@@ -144,3 +144,10 @@ def nearest_rank(df: DataFrame, column: str, percents: tuple[int, ...] = (50, 95
     if limit is not None:
         parts.append(F.count_if(F.col(column) > limit).alias("over_limit"))
     return df.agg(*parts)
+
+
+def best_epoch(results: DataFrame, epoch: str = "epoch") -> DataFrame:
+    """One row: the epoch of highest accuracy, then of least parse failures, least truncation, and
+    the earliest.  An empty table gives a null."""
+    order = F.struct((-F.col("accuracy")).alias("a"), F.col("parse_failure_rate").alias("p"), F.col("truncation_rate").alias("t"), F.col(epoch).alias("e"))
+    return results.agg(F.min_by(epoch, order).alias(epoch))

@@ -178,7 +178,10 @@ def _needs(sql: str, found: set[str]) -> set[str]:
 def _with(sql: str) -> str:
     names = _needs(sql, set())
     parts = [f"{n} AS (\n{body}\n)" for n, body in TABLES.items() if n in names]
-    return (f"WITH {', '.join(parts)}\n" if parts else "") + sql
+    if not parts:
+        return sql
+    own = sql.removeprefix("WITH ")
+    return f"WITH {', '.join(parts)}" + (f", {own}" if own != sql else f"\n{sql}")
 
 
 def _scalar(value: str, column: str = "solution") -> str:
@@ -197,6 +200,21 @@ def _chat(system: str) -> str:
     return f"SELECT id, {_text(system)} AS system, question AS user FROM src"
 
 
+def _last(x: str, number: str, after: str) -> str:
+    """The last of the numbers found from left to right: one that begins within an earlier one isn't found."""
+    start = f"list_transform(range(1, length({x}) + 1), lambda i: {{'s': i, 'm': regexp_extract(substr({x}, i), '^({number})(?:{after}|$)', 1)}})"
+    good = f"list_filter({start}, lambda c: c.m <> '' AND (c.s = 1 OR NOT regexp_matches(substr({x}, c.s - 1, 1), '[\\p{{L}}\\p{{M}}\\p{{N}}_.]')))"
+    ends = f"list_transform({good}, lambda c: {{'e': c.s + length(c.m), 's': c.s, 'm': c.m}})"
+    return f"(CASE WHEN len({good}) > 0 THEN list_reduce({ends}, lambda a, c: CASE WHEN c.s >= a.e THEN c ELSE a END).m END)"
+
+
+_LAST_NUMBER = _last("solution", r"[-+]?\d[\d,]*(?:\.\d+)?", r"[^\p{L}\p{M}\p{N}_]")
+_LAST_INTEGER = _last("solution", r"[-+]?\d[\d,]*(?:\.0+)?", r"[^\p{L}\p{M}\p{N}_.]")
+
+
+#: The JSON object in a raw output, if it is one.
+_OBJECT = "CASE WHEN json_valid(regexp_extract(raw_judgment, '(?s)\\{.*\\}')) THEN regexp_extract(raw_judgment, '(?s)\\{.*\\}') END"
+
 _PAIR = "USING (id, candidate_index)"
 _QUERIES = {
     "normalize_integer": _scalar(_integer("answer"), "answer"),
@@ -250,16 +268,24 @@ _QUERIES = {
     "rejection_histogram": "SELECT reason, count(*) AS rows FROM gate2 WHERE reason IS NOT NULL GROUP BY reason",
     "generation_summary": f"SELECT *, {_rate('covered', 'questions')} AS coverage FROM (SELECT count(*) AS candidate_rows, count(*) FILTER (answer_match) AS matched_rows, count(DISTINCT id) FILTER (answer_match) AS covered, (SELECT count(*) FROM src) AS questions FROM cand c SEMI JOIN src s ON c.id = s.id)",
     "judge_summary": f"SELECT *, judged - passed AS failed, {_rate('passed', 'judged')} AS pass_rate FROM (SELECT count(*) AS judged, count(*) FILTER (verdict = 'PASS' AND parse_status = 'ok') AS passed, count(*) FILTER (parse_status <> 'ok') AS parse_errors FROM judged_v1)",
-    "independent_summary": "SELECT count(*) AS completed, count(*) FILTER (parsed_answer <> '') AS parsed, count(*) FILTER (finish_status = 'eos') AS finished FROM indep",
+    "independent_summary": "SELECT count(*) AS completed, count(*) FILTER (parsed_answer <> '') AS parsed, count(*) FILTER (finish_status = 'eos') AS finished, (SELECT count(*) FROM src) AS questions FROM indep",
     "verify_summary": "SELECT count(*) AS rows, count(*) FILTER (verdict = 'PASS') AS pass, count(*) FILTER (verdict = 'FAIL') AS fail, count(*) FILTER (verdict = 'UNCERTAIN') AS uncertain, count(*) FILTER (parse_status <> 'ok') AS parse_errors FROM judged",
     "sympy_summary": "SELECT count(*) AS rows, count(*) FILTER (status = 'PASS') AS pass, count(*) FILTER (status = 'FAIL') AS fail, count(*) FILTER (status = 'NOT_APPLICABLE') AS not_applicable FROM checks",
     "reconcile_summary": "SELECT count(*) AS reconciled, count(*) FILTER (label_changed) AS label_changed_rows, count(*) FILTER (NOT label_changed) AS unchanged_rows, count(DISTINCT id) AS questions FROM recon",
-    "dedup_summary": "SELECT count(*) AS unique_rows, count(DISTINCT id) AS questions, max(dedup_group) AS largest_group FROM uniq",
-    "sft_summary_v1": f"SELECT *, {_rate('reasoning_rows', 'sft_rows')} AS coverage FROM (SELECT count(*) AS sft_rows, count(*) FILTER (solution_source <> 'final-only-fallback') AS reasoning_rows, count(*) FILTER (solution_source = 'final-only-fallback') AS final_only_rows FROM sft1)",
+    "dedup_summary": f"""SELECT *, eligible_before_dedup - unique_rows AS duplicate_rows_removed FROM (
+        SELECT count(*) AS input_rows, count(*) FILTER (why IS NULL) AS eligible_before_dedup, count(*) FILTER (why = 'answer_mismatch') AS answer_mismatch,
+            count(*) FILTER (why = 'missing_final_marker') AS missing_final_marker, count(*) FILTER (why = 'truncated') AS truncated FROM (SELECT {_first(_CHEAP)} AS why FROM recon)),
+        (SELECT count(*) AS unique_rows, count(DISTINCT id) AS questions, max(dedup_group) AS largest_group FROM uniq)""",
+    "sft_summary_v1": f"""SELECT *, source_rows - sft_rows AS dropped_rows, {_rate('reasoning_rows', 'source_rows')} AS coverage FROM (
+        SELECT count(*) AS sft_rows, count(*) FILTER (solution_source <> 'final-only-fallback') AS reasoning_rows, count(*) FILTER (solution_source = 'final-only-fallback') AS final_only_rows,
+            (SELECT count(*) FROM src) AS source_rows FROM sft1),
+        (SELECT coalesce(string_agg(id, '|' ORDER BY row_no), '') AS missing_examples FROM (
+            SELECT s.id, s.row_no FROM src s JOIN sft1 t ON s.id = t.id WHERE t.solution_source = 'final-only-fallback' ORDER BY s.row_no LIMIT 20))""",
     "sft_summary_v2": f"SELECT *, {_rate('sft_rows', 'source_rows')} AS coverage FROM (SELECT (SELECT count(*) FROM best2 b SEMI JOIN src s ON b.id = s.id) AS sft_rows, (SELECT count(*) FROM src) AS source_rows)",
     "correct_flags": "SELECT row_no, prediction = label AS correct, truncated FROM pred",
     "eval_summary_v2": f"SELECT *, {_rate('correct', 'rows')} AS accuracy, {_rate('parse_failures', 'rows')} AS parse_failure_rate, {_rate('truncated', 'rows')} AS truncation_rate FROM (SELECT count(*) AS rows, count(*) FILTER (prediction = label) AS correct, count(*) FILTER (prediction = '') AS parse_failures, count(*) FILTER (method = 'final_answer') AS marker_parses, count(*) FILTER (truncated) AS truncated FROM pred)",
-    "eval_summary_v1": f"SELECT *, {_rate('correct', 'rows')} AS accuracy FROM (SELECT count(*) AS rows, count(*) FILTER (prediction <> '') AS valid_predictions, count(*) FILTER (prediction = label) AS correct FROM pred)",
+    "eval_summary_v1": f"""SELECT *, {_rate('correct', 'rows')} AS accuracy FROM (SELECT count(*) AS rows, count(*) FILTER (prediction <> '') AS valid_predictions, count(*) FILTER (prediction = label) AS correct
+        FROM (SELECT coalesce({_integer('n')}, '') AS prediction, label FROM (SELECT {_LAST_NUMBER} AS n, s.answer AS label FROM cand c JOIN src s ON c.id = s.id)))""",
     "length_percentiles": "SELECT quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.95) AS p95, quantile_disc(n, 0.99) AS p99, max(n) AS max, count(*) FILTER (n > 600) AS over_limit FROM (SELECT length(completion) AS n FROM reasoning_train_sft)",
     "best_candidate_v2": f"SELECT id, candidate_index FROM elig WHERE {_INDEX} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_BY_SCORE}) = 1",
     "best_candidate_v1": f"SELECT id, candidate_index FROM recon WHERE answer_match AND {_INDEX} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_DONE_FIRST}) = 1",
@@ -269,7 +295,8 @@ _QUERIES = {
     "hash_rank_partition": "SELECT id, CASE WHEN row_number() OVER (ORDER BY sha256(id)) <= (count(*) OVER ()) * 70 // 100 THEN 'first' ELSE 'rest' END AS share FROM (SELECT DISTINCT id FROM problems WHERE id IS NOT NULL)",
     "first_seen_ids": "SELECT id, min(row_no) AS first_row FROM solution_candidates WHERE id IS NOT NULL GROUP BY id",
     "head_limit": "SELECT id, row_no FROM problems ORDER BY row_no LIMIT 20",
-    "best_epoch": f"SELECT model FROM (SELECT model, count(*) FILTER (upper({_strip('verdict')}) = 'PASS')::DOUBLE / count(*) AS r FROM solution_judgments GROUP BY model) ORDER BY r DESC, model LIMIT 1",
+    "best_epoch": f"""SELECT model FROM (SELECT model, count(*) FILTER (upper({_strip('verdict')}) = 'PASS')::DOUBLE / count(*) AS r, count(*) FILTER (parse_status <> 'ok')::DOUBLE / count(*) AS f
+        FROM solution_judgments GROUP BY model) ORDER BY r DESC, f, model LIMIT 1""",
     "bundle_indices": f"SELECT a.id FROM (SELECT id, count(*) AS n FROM uniq GROUP BY id) a JOIN (SELECT j.id, count(*) AS m FROM judged j SEMI JOIN uniq u {_PAIR} GROUP BY j.id) b ON a.id = b.id JOIN (SELECT id, count(*) AS j FROM judged GROUP BY id) c ON a.id = c.id WHERE n = m AND m = j",
     "incomplete_bundles": f"SELECT * FROM (SELECT u.id, count(*) AS missing FROM uniq u ANTI JOIN judged j {_PAIR} GROUP BY u.id) m SEMI JOIN judged j ON m.id = j.id",
     "stale_judgments": f"SELECT j.row_no FROM judged_v1 j LEFT JOIN cand c {_PAIR} WHERE c.id IS NULL OR j.solution_sha256 IS DISTINCT FROM sha256(c.solution)",
@@ -278,12 +305,28 @@ _QUERIES = {
     "student_messages": _chat(chat.STUDENT),
     "answer_messages": _chat(chat.ANSWER_ONLY),
     "judge_messages": "SELECT row_no, 'Problem:' || chr(10) || question || chr(10) || chr(10) || 'Reference final answer:' || chr(10) || answer || chr(10) || chr(10) || 'Candidate solution:' || chr(10) || solution AS user FROM cand",
-    "independent_prompt": f"SELECT id, {_text(chat.INDEPENDENT)} || chr(10) || chr(10) || 'Problem:' || chr(10) || question AS prompt FROM src",
+    "independent_prompt": f"SELECT id, {_text(chat.INDEPENDENT)} || chr(10) || chr(10) || 'Problem:' || chr(10) || question || '<think>' || chr(10) AS prompt FROM src",
     "training_example": "SELECT row_no, question AS user, completion AS assistant FROM reasoning_train_sft WHERE question IS NOT NULL AND completion IS NOT NULL",
-    "verifier_prompt": """SELECT u.id, u.bundle, 'Problem:' || chr(10) || s.question || chr(10) || chr(10) || 'Reference integer label:' || chr(10) || s.answer || chr(10) || chr(10)
-        || 'Independent solution (created without the label or candidates):' || chr(10) || i.independent_solution || chr(10) || chr(10) || 'Candidates:' || chr(10) || u.c AS prompt
-        FROM (SELECT id, dedup_group // 64 AS bundle, string_agg('[Candidate ' || candidate_index || ']' || chr(10) || solution, chr(10) || chr(10) ORDER BY dedup_group) AS c FROM uniq GROUP BY ALL) u
+    "verifier_prompt": f"""SELECT u.id, u.bundle, {_text(chat.VERIFIER)} || chr(10) || chr(10) || 'Problem:' || chr(10) || s.question || chr(10) || chr(10) || 'Reference integer label:' || chr(10) || s.answer || chr(10) || chr(10)
+        || 'Independent solution (created without the label or candidates):' || chr(10) || i.independent_solution || chr(10) || chr(10) || 'Candidates:' || chr(10) || u.c || '<think>' || chr(10) AS prompt
+        FROM (SELECT id, 0::BIGINT AS bundle, string_agg('[Candidate ' || candidate_index || ']' || chr(10) || solution, chr(10) || chr(10) ORDER BY dedup_group) AS c FROM uniq GROUP BY ALL) u
         JOIN src s ON u.id = s.id JOIN indep i ON u.id = i.id""",
+    "extract_last_number": f"SELECT row_no, coalesce({_integer('n')}, '') AS value FROM (SELECT row_no, {_LAST_NUMBER} AS n FROM solution_candidates WHERE solution IS NOT NULL)",
+    "extract_final_answer_fallback": f"""SELECT row_no, CASE WHEN method = 'none' THEN coalesce({_integer('n')}, '') ELSE value END AS value, CASE WHEN method = 'none' AND n IS NOT NULL THEN 'last_integer' ELSE method END AS method
+        FROM (SELECT row_no, {_value('solution')} AS value, {_method('solution')} AS method, {_LAST_INTEGER} AS n FROM solution_candidates WHERE solution IS NOT NULL)""",
+    "parse_judgment_v1": f"""SELECT row_no, CASE WHEN good THEN v ELSE 'FAIL' END AS verdict, CASE WHEN good THEN r ELSE 'Could not parse a valid verifier JSON object.' END AS reason, CASE WHEN good THEN 'ok' ELSE 'parse_error' END AS parse_status
+        FROM (SELECT *, coalesce(v IN ('PASS', 'FAIL') AND r <> '', false) AS good FROM (SELECT row_no, upper({_strip("json_extract_string(j, '$.verdict')")}) AS v, {_strip("json_extract_string(j, '$.reason')")} AS r
+            FROM (SELECT row_no, {_OBJECT} AS j FROM solution_judgments)))""",
+    "parse_judgments_v2": f"""SELECT row_no, CASE WHEN json_type(j, '$.judgments') = 'ARRAY' THEN 'ok' ELSE 'parse_error' END AS parse_status,
+        CASE WHEN json_type(j, '$.judgments') = 'ARRAY' THEN json_array_length(j, '$.judgments')::INTEGER ELSE 0 END AS items FROM (SELECT row_no, {_OBJECT} AS j FROM deepseek_candidate_judgments)""",
+    "judgment_items": f"""WITH raw AS (SELECT id, row_no, CASE WHEN json_type(j, '$.judgments') = 'ARRAY' THEN j END AS j FROM (SELECT id, row_no, {_OBJECT} AS j FROM judged WHERE raw_judgment <> '')),
+        items AS (SELECT id, row_no, k, json_extract(j, '$.judgments[' || k || ']') AS x FROM (SELECT *, unnest(range(json_array_length(j, '$.judgments')::BIGINT)) AS k FROM raw WHERE j IS NOT NULL)),
+        last AS (SELECT id, json_extract_string(x, '$.candidate_index') AS candidate_index, upper(coalesce(json_extract_string(x, '$.verdict'), 'UNCERTAIN')) AS v, {_strip("coalesce(json_extract_string(x, '$.reason'), 'Missing candidate judgment.')")} AS r
+            FROM items QUALIFY row_number() OVER (PARTITION BY id, json_extract_string(x, '$.candidate_index') ORDER BY row_no DESC, k DESC) = 1),
+        status AS (SELECT id, arg_max(j IS NOT NULL, row_no) AS parsed FROM raw GROUP BY id)
+        SELECT row_no, CASE WHEN good THEN v ELSE 'UNCERTAIN' END AS item_verdict, CASE WHEN good AND parsed AND parse_status = 'ok' THEN 'ok' ELSE 'incomplete_or_parse_error' END AS item_status
+        FROM (SELECT d.row_no, d.parse_status, s.parsed, coalesce(l.v, 'UNCERTAIN') AS v, coalesce(l.v, 'UNCERTAIN') IN ('PASS', 'FAIL', 'UNCERTAIN') AND coalesce(l.r, 'Missing candidate judgment.') <> '' AS good
+            FROM judged d LEFT JOIN last l USING (id, candidate_index) LEFT JOIN status s ON d.id = s.id)""",
     "sft_v2": f"""SELECT s.id, s.question, {_strip('b.solution')} AS solution, s.answer, {_strip('b.solution')} AS completion, 'verified' AS solution_source, b.candidate_index FROM src s JOIN best2 b ON s.id = b.id""",
 }
 

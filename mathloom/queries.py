@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +12,15 @@ from mathloom.functions import chat, parsing
 from mathloom.functions import text as T
 from mathloom.operators import curation, keyed
 from mathloom.oracle import ORACLE as ORACLE
+from mathloom.plans import inference
 from mathloom.plans.rebuild import Rebuild
 
 FLAGSHIP = "missing_policy"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 RATE = 6
+#: Folder of the vocabulary files; never copied.
+TOKENIZERS = os.environ.get("MATHLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
 def query(f: Callable[[Rebuild], DataFrame]) -> Callable[[Rebuild], DataFrame]:
@@ -312,7 +316,8 @@ def judge_summary(r):
 
 @query
 def independent_summary(r):
-    return r.independent.agg(F.count("*").alias("completed"), F.count_if(F.expr("parsed_answer != ''")).alias("parsed"), F.count_if(F.expr("finish_status = 'eos'")).alias("finished"))
+    total = r.source.where("valid").agg(F.count("*").alias("questions"))
+    return r.independent.agg(F.count("*").alias("completed"), F.count_if(F.expr("parsed_answer != ''")).alias("parsed"), F.count_if(F.expr("finish_status = 'eos'")).alias("finished")).crossJoin(total)
 
 
 @query
@@ -333,15 +338,23 @@ def reconcile_summary(r):
 
 @query
 def dedup_summary(r):
-    return r.unique.agg(F.count("*").alias("unique_rows"), F.countDistinct("id").alias("questions"), F.max("dedup_group").alias("largest_group"))
+    why = r.reconciled.select(curation.cheap_reason().alias("why"))
+    names = ("answer_mismatch", "missing_final_marker", "truncated")
+    rows = why.agg(F.count("*").alias("input_rows"), F.count_if(F.expr("why is null")).alias("eligible_before_dedup"), *(F.count_if(F.col("why") == n).alias(n) for n in names))
+    kept = r.unique.agg(F.count("*").alias("unique_rows"), F.countDistinct("id").alias("questions"), F.max("dedup_group").alias("largest_group"))
+    return rows.crossJoin(kept).withColumn("duplicate_rows_removed", F.col("eligible_before_dedup") - F.col("unique_rows"))
 
 
 @query
 def sft_summary_v1(r):
-    rows = r.sft_v1("final-only")
+    """With the first 20 ids, in the problems' order, that have no accepted solution."""
+    order = r.source.where("valid").select("id", "row_no")
+    rows = r.sft_v1("final-only").join(order, "id")
     made = F.col("solution_source") != "final-only-fallback"
     out = rows.agg(F.count("*").alias("sft_rows"), F.count_if(made).alias("reasoning_rows"), F.count_if(~made).alias("final_only_rows"))
-    return out.withColumn("coverage", rate(F.col("reasoning_rows"), F.col("sft_rows")))
+    first = rows.where(~made).orderBy("row_no").limit(20).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "id"))), lambda x: x["id"]), "|").alias("missing_examples"))
+    out = out.crossJoin(order.agg(F.count("*").alias("source_rows"))).crossJoin(first)
+    return out.withColumn("dropped_rows", F.col("source_rows") - F.col("sft_rows")).withColumn("coverage", rate(F.col("reasoning_rows"), F.col("source_rows")))
 
 
 @query
@@ -373,16 +386,35 @@ def eval_summary_v2(r):
 
 @query
 def eval_summary_v1(r):
-    out = _predictions(r).agg(F.count("*").alias("rows"), F.count_if(F.expr("prediction != ''")).alias("valid_predictions"), F.count_if("correct").alias("correct"))
+    """The prediction is the last number of the text."""
+    rows = r.candidates.join(r.source.where("valid").select("id", F.col("answer").alias("label")), "id").withColumn("prediction", T.last_number(F.col("solution")))
+    out = rows.agg(F.count("*").alias("rows"), F.count_if(F.expr("prediction != ''")).alias("valid_predictions"), F.count_if(F.expr("prediction = label")).alias("correct"))
     return out.withColumn("accuracy", rate(F.col("correct"), F.col("rows")))
 
 
 @query
 def length_percentiles(r):
+    """Characters of the completions."""
     rows = r.table("reasoning_train_sft").select(F.length("completion").alias("size"))
     return longs(keyed.nearest_rank(rows, "size", limit=600))
 
 
+@query
+def token_length_percentiles(r):
+    """Tokens of whole training examples: system text, question and completion, by a public tokenizer."""
+    m = chat.training_example(chat.STUDENT, F.col("question"), F.col("completion"))
+    parts = [m["prompt"][0]["content"], m["prompt"][1]["content"], m["completion"][0]["content"]]
+    rows = r.table("reasoning_train_sft").where("question is not null and completion is not null").select(F.concat_ws("\n", *parts).alias("example"))
+    return longs(keyed.nearest_rank(inference.token_lengths(rows, "example", _tokenizer).select("tokens"), "tokens", limit=600))
+
+
+def _tokenizer() -> Callable[[list[str]], list[int]]:
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json").encode_batch
+    return lambda texts: [len(x.ids) for x in encode(texts, add_special_tokens=False)]
+
+
 # Order, top 1, partitions
 
 
@@ -429,11 +461,13 @@ def head_limit(r):
 
 @query
 def best_epoch(r):
-    """The judge, as an epoch, of highest pass rate; the smaller name wins a tie."""
-    rows = r.table("solution_judgments").withColumn("ok", F.upper(T.strip(F.col("verdict"))) == "PASS")
-    rates = rows.groupBy("model").agg(F.count_if("ok").alias("good"), F.count("*").alias("n"))
-    best = rates.agg(F.min_by("model", F.struct((-F.col("good") / F.col("n")).alias("r"), "model")).alias("model"))
-    return best
+    """The judge, as an epoch: pass rate, then parse failures, then the smaller name.
+
+    No table of epochs is given; judgments have no truncation, so that rate is 0.
+    """
+    ok, n = F.upper(T.strip(F.col("verdict"))) == "PASS", F.count("*")
+    rates = r.table("solution_judgments").groupBy("model").agg((F.count_if(ok) / n).alias("accuracy"), (F.count_if(F.col("parse_status") != "ok") / n).alias("parse_failure_rate"))
+    return keyed.best_epoch(rates.withColumn("truncation_rate", F.lit(0.0)), "model")
 
 
 # Sets
@@ -497,7 +531,7 @@ def judge_messages(r):
 
 @query
 def independent_prompt(r):
-    return r.source.where("valid").select("id", chat.independent(F.col("question")).alias("prompt"))
+    return r.source.where("valid").select("id", chat.opened(chat.independent(F.col("question"))).alias("prompt"))
 
 
 @query
@@ -509,14 +543,8 @@ def training_example(r):
 
 @query
 def verifier_prompt(r):
-    """Prompts of the questions with unique candidates and an independent solution.
-
-    A question's candidates share one prompt up to 64 of them; a question of more has several.
-    """
-    item = F.struct("dedup_group", F.col("candidate_index").alias("index"), "solution")
-    listed = r.unique.groupBy("id", F.floor(F.col("dedup_group") / 64).alias("bundle")).agg(F.array_sort(F.collect_list(item)).alias("c"))
-    rows = listed.join(r.source.where("valid").select("id", "question", "answer"), "id").join(r.independent.select("id", "independent_solution"), "id")
-    return rows.select("id", "bundle", chat.bundle(F.col("question"), F.col("answer"), F.col("independent_solution"), F.col("c")).alias("prompt"))
+    """Prompts of the questions with unique candidates and an independent solution: one a question."""
+    return inference.bundles(r.unique, r.source, r.independent).select("id", "bundle", "prompt")
 
 
 # Parsed outputs

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mathloom.functions import text as T
-from mathloom.plans.inference import CallableBackend, RecordedBackend, evaluate, generate, judge, resume, solve, token_lengths, verify
+from mathloom.plans.inference import CallableBackend, RecordedBackend, evaluate, generate, judge, require_lengths, resume, resume_bundles, resume_generation, solve, token_lengths, verify
 from mathloom.sources import files
 from mathloom.streaming.incremental import work_off
 
@@ -97,11 +97,69 @@ def test_solve_judge_verify(spark):
     judged = judge(q, CallableBackend(lambda: lambda ps: [('{"verdict": "fail", "reason": "no"}', True) for _ in ps])).first()
     assert (judged.verdict, judged.parse_status, judged.solution_sha256) == ("FAIL", "ok", hashlib.sha256(b"s").hexdigest())
     text = VERDICTS
-    bundles = spark.createDataFrame([("a", 0, "p")], "id string, bundle int, prompt string")
-    members = spark.createDataFrame([("a", 0, str(i), "s") for i in range(3)], "id string, bundle int, candidate_index string, solution string")
-    got = {r.candidate_index: (r.verdict, r.reason, r.parse_status) for r in verify(bundles, members, CallableBackend(lambda: lambda ps: [(text, True) for _ in ps])).collect()}
+    bundles = spark.createDataFrame([("a", 0, "p", "own")], "id string, bundle int, prompt string, independent_solution string")
+    members = spark.createDataFrame([("a", 0, i + 3, str(i), "s") for i in range(3)], "id string, bundle int, place int, candidate_index string, solution string")
+    rows = verify(bundles, members, CallableBackend(lambda: lambda ps: [(text, True) for _ in ps])).collect()
+    assert {r.candidate_index: r.raw_judgment for r in rows} == {"0": text, "1": "", "2": ""}
+    assert {r.independent_solution_sha256 for r in rows} == {hashlib.sha256(b"own").hexdigest()}
+    got = {r.candidate_index: (r.verdict, r.reason, r.parse_status) for r in rows}
     assert got == {"0": ("FAIL", "y", "ok"), "1": ("UNCERTAIN", "Invalid verifier item.", "incomplete_or_parse_error"), "2": ("UNCERTAIN", "Missing candidate judgment.", "ok")}
-    assert token_lengths(q, "question", lambda: lambda ts: [len(t) for t in ts]).first().tokens == 1
+    sized = token_lengths(q, "question", lambda: lambda ts: [len(t) for t in ts])
+    assert sized.first().tokens == 1 and require_lengths(sized, 1).count() == 1
+    with pytest.raises(ValueError, match="1 training rows"):
+        require_lengths(sized, 0)
+    last = evaluate(q, CallableBackend(lambda: lambda ps: [("3 then 5", False) for _ in ps]), F.col("question"), last_number=True).first()
+    assert last.prediction == "5" and last.correct and "truncated" not in last.asDict()
+
+
+def test_generation_is_resumed_by_question(spark):
+    q = spark.createDataFrame([("a", "x", "1"), ("b", "y", "2")], "id string, question string, answer string")
+    done = spark.createDataFrame([("a", "0", "x", "1"), ("a", "1", "x", "1"), ("b", "1", "y", "2")], "id string, candidate_index string, question string, answer string")
+    work, missing = resume_generation(q, done, 2)
+    assert [r.id for r in work.collect()] == ["b"] and [tuple(r) for r in missing.collect()] == [("b", "0")]
+    for wrong in (done.withColumn("question", F.lit("z")), done.union(done), done.withColumn("candidate_index", F.col("candidate_index") + 1)):
+        with pytest.raises(ValueError):
+            resume_generation(q, wrong, 2)
+
+
+def test_bundles_are_resumed_whole(spark):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    unique = spark.createDataFrame([("a", "0", "s"), ("a", "1", "t"), ("b", "0", "u")], "id string, candidate_index string, solution string")
+    solved = spark.createDataFrame([("a", "own"), ("b", "own")], "id string, independent_solution string")
+    schema = "id string, candidate_index string, solution_sha256 string, independent_solution_sha256 string"
+    good = [("a", "0", sha("s"), sha("own")), ("a", "1", sha("t"), sha("own"))]
+    left = lambda rows: [r.id for r in resume_bundles(unique, solved, spark.createDataFrame(rows, schema)).collect()]
+    assert left(good) == ["b"] and sorted(left([])) == ["a", "b"]
+    for rows, why in ((good[:1], "partial"), ([*good, ("a", "2", sha("s"), sha("own"))], "partial"), ([*good, ("c", "0", "x", "y")], "stale judgment"), ([("b", "0", sha("x"), sha("own"))], "candidate changed"), ([("b", "0", sha("u"), sha("x"))], "independent solution changed"), (good + good, "repeated")):
+        with pytest.raises(ValueError, match=why):
+            left(rows)
+
+
+def echo():
+    return lambda prompts: [("work\nFinal answer: 5", True) for _ in prompts]
+
+
+def test_commands(spark, tmp_path):
+    from mathloom import cli
+
+    problems = [("a", "What is it?", "5", 1), ("b", "And this?", "6", 2)]
+    for name in ("problems", "valid_problems"):
+        spark.createDataFrame(problems, "id string, question string, answer string, row_no long").write.parquet(f"{tmp_path}/{name}.parquet")
+    out = str(tmp_path / "generated")
+    run = lambda *x: cli.main([*x], spark)
+    common = ["--backend", "tests.test_files:echo", "--candidates", "2"]
+    assert run("generate", str(tmp_path), out, *common, "--limit", "1") == 0 and spark.read.parquet(out).count() == 2
+    with pytest.raises(FileExistsError):
+        run("generate", str(tmp_path), out, *common)
+    assert run("generate", str(tmp_path), out, *common, "--resume") == 0 and spark.read.parquet(out).count() == 4
+    assert files.read_summary(spark, f"{tmp_path}/generated.summary.json", "rows") == 4
+    done = spark.read.parquet(out)
+    assert {(r.id, r.answer_match) for r in done.collect()} == {("a", True), ("b", False)}
+    assert run("evaluate", str(tmp_path), str(tmp_path / "eval"), "--backend", "tests.test_files:echo", "--last-number") == 0
+    assert sorted((r.id, r.correct) for r in spark.read.parquet(str(tmp_path / "eval")).collect()) == [("a", True), ("b", False)]
+    assert run("split", str(tmp_path), str(tmp_path / "split"), "--percent", "50") == 0
+    with pytest.raises(SystemExit):
+        run("solve", str(tmp_path), out)
 
 
 def test_resume(spark):

@@ -183,3 +183,9 @@ def test_checked_training_rows(spark):
     rows = [("a", "q", "5", "Final answer: 5", 1), ("a", "q", "5", "Final answer: 5", 2), ("b", " ", "5", "Final answer: 5", 3), ("c", "q", "5", "\\boxed{5}", 4), ("d", "q", "5", None, 5), ("e", "q", None, "Final answer: 5", 6)]
     got = curation.checked_sft(spark.createDataFrame(rows, "id string, question string, answer string, completion string, row_no long")).collect()
     assert {r.row_no: r.problem for r in got} == {1: None, 2: "duplicate_id", 3: "empty_value", 4: "mismatch", 5: "empty_value", 6: "mismatch"}
+
+
+def test_best_epoch(spark):
+    rows = [(1, 0.5, 0.1, 0.0), (2, 0.7, 0.2, 0.1), (3, 0.7, 0.1, 0.2), (4, 0.7, 0.1, 0.1), (5, 0.7, 0.1, 0.1)]
+    df = spark.createDataFrame(rows, "epoch int, accuracy double, parse_failure_rate double, truncation_rate double")
+    assert keyed.best_epoch(df).first().epoch == 4 and keyed.best_epoch(df.limit(0)).first().epoch is None
