@@ -139,7 +139,8 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
 
 def nearest_rank(df: DataFrame, column: str, percents: tuple[int, ...] = (50, 95, 99), limit: int | None = None) -> DataFrame:
     """One row: nearest-rank percentiles, the maximum and how many values exceed ``limit``."""
-    parts = [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {column})").alias(f"p{p}") for p in percents]
+    kind = df.schema[column].dataType
+    parts = [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {column})").cast(kind).alias(f"p{p}") for p in percents]
     parts.append(F.max(column).alias("max"))
     if limit is not None:
         parts.append(F.count_if(F.col(column) > limit).alias("over_limit"))
