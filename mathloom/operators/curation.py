@@ -36,6 +36,19 @@ def source(df: DataFrame) -> DataFrame:
     return rows.withColumn("valid", (F.col("id") != "") & (F.col("question") != "") & (F.col("answer") != ""))
 
 
+def strict_source(df: DataFrame) -> DataFrame:
+    """``source`` if every row is usable and no id repeats; raises with the first row that isn't.
+
+    Rows without id, question and answer at all are blank lines and are left out.
+    """
+    rows = source(df)
+    blank = (F.col("id") == "") & (F.col("question") == "") & (F.col("answer") == "")
+    bad = rows.where(~F.col("valid") & ~blank).orderBy("row_no").first()
+    if bad:
+        raise ValueError(f"row {bad['row_no']}: id, question and an integer answer are required")
+    return keyed.assert_unique(rows.where("valid"), ["id"], "problems")
+
+
 def candidates(df: DataFrame) -> DataFrame:
     """Last row of each key; rows without id or index are left out, other nulls become empty."""
     keep = ["id", "candidate_index", "question", "answer", "solution", "parsed_answer", "parser_method", "answer_match", "finish_status", "row_no"]

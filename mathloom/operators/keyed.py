@@ -55,6 +55,14 @@ def assert_disjoint(a: DataFrame, b: DataFrame, key: str = "id") -> None:
         raise ValueError(f"shared by both tables: {both}")
 
 
+def lookup(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with its key's row of ``table``; raises with a key the table lacks."""
+    absent = pending(df, table, keys).first()
+    if absent:
+        raise KeyError(tuple(absent[k] for k in keys))
+    return df.join(table, keys)
+
+
 def overlap(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
     """Distinct keys of both tables."""
     return a.select(key).join(b.select(key), key, "left_semi").distinct()

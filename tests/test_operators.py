@@ -189,3 +189,17 @@ def test_best_epoch(spark):
     rows = [(1, 0.5, 0.1, 0.0), (2, 0.7, 0.2, 0.1), (3, 0.7, 0.1, 0.2), (4, 0.7, 0.1, 0.1), (5, 0.7, 0.1, 0.1)]
     df = spark.createDataFrame(rows, "epoch int, accuracy double, parse_failure_rate double, truncation_rate double")
     assert keyed.best_epoch(df).first().epoch == 4 and keyed.best_epoch(df.limit(0)).first().epoch is None
+
+
+def test_strict_variants_raise(spark):
+    schema = "id string, question string, answer string, row_no long"
+    good = spark.createDataFrame([("a", "q", "1", 1), ("b", "r", "2.0", 2), (None, " ", None, 3)], schema)
+    assert curation.strict_source(good).count() == 2
+    for row in (("c", "q", "x", 4), ("c", "", "1", 4), ("a", "s", "3", 4)):
+        with pytest.raises(ValueError):
+            curation.strict_source(good.union(spark.createDataFrame([row], schema)))
+    judged = spark.createDataFrame([("a", "0"), ("a", "1")], "id string, candidate_index string")
+    table = judged.withColumn("solution", F.lit("s"))
+    assert keyed.lookup(judged, table, curation.KEY).count() == 2
+    with pytest.raises(KeyError):
+        keyed.lookup(judged, table.where("candidate_index = '0'"), curation.KEY)
