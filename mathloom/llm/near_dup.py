@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mathloom.llm import kernels
-from mathloom.scratch import stage
+from mathloom.scratch import free, stage
 
 _U = np.uint64
 #: Texts of a tree that is traversed where its texts meet, and of a subtree of a larger one.
@@ -500,17 +500,21 @@ def connected(edges: DataFrame) -> DataFrame:
     200,000 vertices took up to 18 steps in a simulation.  Labels only fall, so the steps end;
     there is no limit on them.
     """
-    labels = stage(edges.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("label")), "near-labels")
+    kept = stage(edges.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("label")), "near-labels")
     while True:
+        labels = kept.select("v", "label")
         around = edges.join(labels.select(F.col("v").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("near"))
         known = labels.join(around, "v").select("v", F.least("label", "near").alias("near"), F.col("label").alias("old"))
         hooks = known.select(F.col("old").alias("v"), "near", F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
         hooked = stage(known.unionByName(hooks).groupBy("v").agg(F.min("near").alias("label"), F.max("old").alias("old")), "near-hooks")
         jump = hooked.select(F.col("v").alias("label"), F.col("label").alias("further"))
         new = stage(hooked.join(jump, "label", "left").select("v", F.least("label", F.coalesce("further", "label")).alias("label"), "old"), "near-labels")
-        labels = new.select("v", "label")
+        # A step's tables aren't read again after it.
+        free(kept)
+        free(hooked)
+        kept = new
         if not new.where("label != old").limit(1).count():
-            return labels
+            return new.select("v", "label")
 
 
 def near_groups(texts: DataFrame, least: float = 0.8, k: int = 5, least_words: int = 0) -> DataFrame:
