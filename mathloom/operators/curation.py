@@ -172,11 +172,11 @@ def near_dedup(rows: DataFrame, threshold: float = 0.88, most_rounds: int | None
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    forms = rows.select("id", "candidate_index", "row_no", "solution").withColumn("index", index_of()).withColumn("norm", T.normalize_solution(F.col("solution"))).drop("solution")
+    forms = rows.select(F.struct(*rows.columns).alias("row"), "id", "row_no", index_of().alias("index"), T.normalize_solution(F.col("solution")).alias("norm"))
     # Of equal texts only the first can be kept, and what removes it removes the others.
     forms = keyed.first_by(forms.where(F.col("index").isNotNull()), ["id", "norm"], F.struct("index", "row_no"))
-    forms = stage(forms.withColumn("equations", T.equations(F.col("norm"))).withColumn("tokens", T.tokens(F.col("norm"))).drop("norm", "candidate_index"), "dedup-forms")
-    links = stage(_earlier_links(forms.where("equations != ''"), threshold), "dedup-links")
+    forms = stage(forms.withColumn("equations", T.equations(F.col("norm"))).withColumn("tokens", T.tokens(F.col("norm"))).drop("norm"), "dedup-forms")
+    links = stage(_earlier_links(forms.drop("row").where("equations != ''"), threshold), "dedup-links")
     large = links.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > block_links).select("block")
     large = stage(large, "dedup-large")
     gone = _settled_at_once(links.join(large, "block", "left_anti"))
@@ -184,7 +184,7 @@ def near_dedup(rows: DataFrame, threshold: float = 0.88, most_rounds: int | None
         gone = gone.unionByName(more)
     kept = forms.select("id", "index", "row_no").join(gone, "row_no", "left_anti")
     ranked = keyed.ordinal(kept, "id", "index", "dedup_group", ties="row_no").select("row_no", "dedup_group")
-    return rows.join(ranked, "row_no").select(*rows.columns, "dedup_group", F.lit("0.000000").alias("normalized_similarity"))
+    return forms.select("row", "row_no").join(ranked, "row_no").select("row.*", "dedup_group", F.lit("0.000000").alias("normalized_similarity"))
 
 
 def independent(cand: DataFrame, judged: DataFrame) -> DataFrame:
