@@ -17,16 +17,15 @@ from mathloom.scratch import stage
 SMALL_GROUP = 256
 #: Thresholds up to this number are broadcast (some 60 bytes each).
 BROADCAST_GROUPS = 100_000
-SALTS = 16
 
 
 def _thresholds(scored: DataFrame, n: int, small_group: int) -> DataFrame:
-    """Group and lowest kept bucket, of each group of more than ``small_group`` rows."""
+    """Group, lowest kept bucket and rows, of each group of more than ``small_group`` rows."""
     bars = scored.groupBy("g_", "b_").agg(F.count("*").alias("rows"))
     group = Window.partitionBy("g_")
     above = F.coalesce(F.sum("rows").over(group.orderBy(F.desc("b_")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sized = bars.withColumn("above", above).withColumn("size", F.sum("rows").over(group))
-    return sized.where((F.col("size") > small_group) & (F.col("above") < n)).groupBy("g_").agg(F.min("b_").alias("least"))
+    return sized.where((F.col("size") > small_group) & (F.col("above") < n)).groupBy("g_").agg(F.min("b_").alias("least"), F.first("size").alias("size"))
 
 
 def top_n(
@@ -51,8 +50,11 @@ def top_n(
     if limits.count() <= broadcast_groups:
         pruned = scored.join(F.broadcast(limits), "g_", "left")
     else:
-        salted = limits.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pruned = scored.withColumn("salt_", F.pmod(F.xxhash64(*names, "s_"), F.lit(SALTS)).cast("int")).join(salted, ["g_", "salt_"], "left")
+        # Groups of more than this share of all rows are at most ``broadcast_groups``; a task of the
+        # join by group meets no larger one.
+        hot = limits.where(F.col("size") > F.lit(scored.count() / max(broadcast_groups, 1)))
+        rest = scored.join(F.broadcast(hot.select("g_")), "g_", "left_anti").join(limits, "g_", "left")
+        pruned = scored.join(F.broadcast(hot), "g_").unionByName(rest)
     pruned = pruned.where(F.col("least").isNull() | (F.col("b_") >= F.col("least")))
     order = Window.partitionBy("g_").orderBy(F.col("s_").desc_nulls_last(), *names)
     ranked = pruned.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= n)
