@@ -107,21 +107,26 @@ def index_of() -> Column:
 def _earlier_links(forms: DataFrame, threshold: float) -> DataFrame:
     """Pairs (block, u, v) of similar forms of one id and equations, the earlier first.
 
-    Similar token sets share one of their first tokens in any fixed order, so the join is on those
-    tokens and not on whole blocks; long tokens, which are rarer than operators, come first.
+    Only forms whose id and equations another form has take part, by their hash ``block``.  Similar
+    token sets share one of their first tokens in any fixed order, so the join is on those tokens
+    and not on whole blocks; long tokens, which are rarer than operators, come first.  Tokens are
+    joined as hashes, and the sets themselves only for pairs that share one.
     """
+    several = forms.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
+    forms = stage(forms.join(several, "block", "left_semi"), "dedup-blocks")
     n = F.size("tokens")
     rare_first = F.array_sort(F.transform("tokens", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
     prefix = F.slice(rare_first["t"], 1, F.greatest(n - F.ceil(n * threshold - 1e-9) + 1, F.lit(1)).cast("int"))
-    # Blocks whose hashes collide share a task, no more: their rows are compared on equations too.
-    block = F.xxhash64("id", "equations").alias("block")
-    listed = forms.select(block, "id", "equations", "tokens", "index", "row_no", F.explode(prefix).alias("token"))
-    listed = listed.select("id", "equations", "token", "block", F.struct("index", "row_no").alias("place"), "tokens")
-    a, b = (listed.withColumnsRenamed({c: f"{c}_{x}" for c in ("block", "place", "tokens")}) for x in "uv")
-    small, large = F.least(F.size("tokens_u"), F.size("tokens_v")), F.greatest(F.size("tokens_u"), F.size("tokens_v"))
-    pairs = a.join(b, ["id", "equations", "token"]).where((F.col("place_u") < F.col("place_v")) & (small >= large * threshold - 1e-9))
-    similar = pairs.where(T.jaccard(F.col("tokens_u"), F.col("tokens_v")) >= threshold)
-    return similar.select(F.col("block_u").alias("block"), F.col("place_u").alias("u"), F.col("place_v").alias("v")).distinct()
+    listed = forms.select("block", F.struct("index", "row_no").alias("place"), n.alias("n"), F.explode(prefix).alias("token"))
+    listed = listed.select("block", F.xxhash64("token").alias("token"), "place", "n")
+    a, b = (listed.withColumnsRenamed({"place": x, "n": f"n_{x}"}) for x in "uv")
+    small, large = F.least("n_u", "n_v"), F.greatest("n_u", "n_v")
+    pairs = a.join(b, ["block", "token"]).where((F.col("u") < F.col("v")) & (small >= large * threshold - 1e-9)).select("block", "u", "v").distinct()
+    for x in "uv":
+        own = forms.select(F.col("row_no").alias(f"row_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("id", "equations", "tokens")))
+        pairs = pairs.withColumn(f"row_{x}", F.col(f"{x}.row_no")).join(own, f"row_{x}")
+    same = (F.col("id_u") == F.col("id_v")) & (F.col("equations_u") == F.col("equations_v"))
+    return pairs.where(same & (T.jaccard(F.col("tokens_u"), F.col("tokens_v")) >= threshold)).select("block", "u", "v")
 
 
 def _settled_at_once(links: DataFrame) -> DataFrame:
@@ -175,7 +180,7 @@ def near_dedup(rows: DataFrame, threshold: float = 0.88, most_rounds: int | None
     forms = rows.select(F.struct(*rows.columns).alias("row"), "id", "row_no", index_of().alias("index"), T.normalize_solution(F.col("solution")).alias("norm"))
     # Of equal texts only the first can be kept, and what removes it removes the others.
     forms = keyed.first_by(forms.where(F.col("index").isNotNull()), ["id", "norm"], F.struct("index", "row_no"))
-    forms = stage(forms.withColumn("equations", T.equations(F.col("norm"))).withColumn("tokens", T.tokens(F.col("norm"))).drop("norm"), "dedup-forms")
+    forms = stage(forms.withColumn("equations", T.equations(F.col("norm"))).withColumn("tokens", T.tokens(F.col("norm"))).drop("norm").withColumn("block", F.xxhash64("id", "equations")), "dedup-forms")
     links = stage(_earlier_links(forms.drop("row").where("equations != ''"), threshold), "dedup-links")
     large = links.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > block_links).select("block")
     large = stage(large, "dedup-large")
