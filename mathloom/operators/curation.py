@@ -18,6 +18,8 @@ from mathloom.scratch import free, stage
 KEY = ["id", "candidate_index"]
 #: Links of one id and equations that one task decides on (some 100 bytes each).
 BLOCK_LINKS = 500_000
+#: Row numbers up to this many are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def filled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -107,13 +109,10 @@ def index_of() -> Column:
 def _earlier_links(forms: DataFrame, threshold: float) -> DataFrame:
     """Pairs (block, u, v) of similar forms of one id and equations, the earlier first.
 
-    Only forms whose id and equations another form has take part, by their hash ``block``.  Similar
-    token sets share one of their first tokens in any fixed order, so the join is on those tokens
-    and not on whole blocks; long tokens, which are rarer than operators, come first.  Tokens are
-    joined as hashes, and the sets themselves only for pairs that share one.
+    Similar token sets share one of their first tokens in any fixed order, so the join is on those
+    tokens and not on whole blocks; long tokens, which are rarer than operators, come first.  Blocks
+    and tokens are joined as hashes, and the sets themselves are moved only for pairs that share one.
     """
-    several = forms.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
-    forms = stage(forms.join(several, "block", "left_semi"), "dedup-blocks")
     n = F.size("tokens")
     rare_first = F.array_sort(F.transform("tokens", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
     prefix = F.slice(rare_first["t"], 1, F.greatest(n - F.ceil(n * threshold - 1e-9) + 1, F.lit(1)).cast("int"))
@@ -122,9 +121,13 @@ def _earlier_links(forms: DataFrame, threshold: float) -> DataFrame:
     a, b = (listed.withColumnsRenamed({"place": x, "n": f"n_{x}"}) for x in "uv")
     small, large = F.least("n_u", "n_v"), F.greatest("n_u", "n_v")
     pairs = a.join(b, ["block", "token"]).where((F.col("u") < F.col("v")) & (small >= large * threshold - 1e-9)).select("block", "u", "v").distinct()
+    pairs = stage(pairs, "dedup-pairs")
+    needed = pairs.select(F.col("u.row_no").alias("row_no")).unionByName(pairs.select(F.col("v.row_no").alias("row_no"))).distinct()
+    # Row numbers of 8 bytes each, counted before they are broadcast.
+    few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    own = stage(forms.select("row_no", "id", "equations", "tokens").join(F.broadcast(needed) if few else needed, "row_no", "left_semi"), "dedup-sets")
     for x in "uv":
-        own = forms.select(F.col("row_no").alias(f"row_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("id", "equations", "tokens")))
-        pairs = pairs.withColumn(f"row_{x}", F.col(f"{x}.row_no")).join(own, f"row_{x}")
+        pairs = pairs.withColumn(f"row_{x}", F.col(f"{x}.row_no")).join(own.select(F.col("row_no").alias(f"row_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("id", "equations", "tokens"))), f"row_{x}")
     same = (F.col("id_u") == F.col("id_v")) & (F.col("equations_u") == F.col("equations_v"))
     return pairs.where(same & (T.jaccard(F.col("tokens_u"), F.col("tokens_v")) >= threshold)).select("block", "u", "v")
 
